@@ -27,7 +27,7 @@ LOCAL = 65_536
 CACHE = 200_000
 SLICE = 256
 MARK = "▁"
-UNEVEN = re.compile(rf"  |^ | $| \n|\n |{MARK}")
+UNEVEN = re.compile(rf"  |^[ \n]| $| \n|\n |{MARK}")
 
 
 class WordCounter:
