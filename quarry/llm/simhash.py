@@ -27,7 +27,7 @@ from quarry.llm.components import connected_components
 WORDS = 4
 SEED = 42
 RADIUS = 4
-SHARD = 16_384
+SHARD = 65_536
 SAMPLE = 8_192
 LEAF = 96
 BLOCK = 1 << 21
