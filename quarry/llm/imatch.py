@@ -9,24 +9,28 @@ it, distinct and sorted, are hashed to 32 bits. The fingerprint joins those hash
 the weighted share of equal ones among the lexicons of which either document has a term.
 
 Defined cases: null text counts as empty; a text without any term of the band uses all its terms; a text without
-terms has a fingerprint of zeros, alike 1 to another such and 0 to the rest; very long texts are taken whole; null doc_ids come
+terms has the fingerprint of no terms, alike 1 to another such and 0 to the rest; very long texts are taken whole; null doc_ids come
 after all others, and rows of equal doc_id sort by text; the next document of a single one is itself; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import materialize, text_of
 
-LOW_SHARE, HIGH_SHARE = 0.002, 0.02
+LOW_SHARE, HIGH_SHARE = 0.002, 0.01
 #: Lexicon i keeps a share of 2 ** -HALVINGS[i] of the terms.
 HALVINGS = (1, 1, 2, 2, 3, 3, *[4] * 4, *[5] * 4, *[6] * 4, *[7] * 4, *[8] * 6)
 LEXICONS = len(HALVINGS)
 SEEDS = (1_000, 2_000)
+#: The hash of no terms: XXH64 of an empty array is its seed.
+EMPTY = 42
 
 
 def terms(text: Column) -> Column:
@@ -42,21 +46,22 @@ def lexicon(hashed: DataFrame) -> DataFrame:
     return materialize(df.filter((F.col("df") >= max(2, int(n * LOW_SHARE))) & (F.col("df") <= max(4, int(n * HIGH_SHARE)))).select("h"), "lexicon")
 
 
-def lookup(lex: DataFrame) -> Column:
-    """The lexicon as a literal: ARRAY<ARRAY<BIGINT>>, the hashes by their low bits, about two in a slot."""
+def lookup(lex: DataFrame) -> tuple[int, Column]:
+    """The lexicon as a mask and a hash table: an ARRAY<ARRAY<BIGINT>> literal of the hashes by their low bits, about two in
+    a slot. A literal stays out of the rows, unlike a column of a joined table."""
     n = max(1, lex.count())
     slots = 1 << max(4, (n // 2).bit_length())
-    view = f"quarry_lexicon_{abs(hash(lex)) % (1 << 40)}"
-    at = lex.groupBy((F.col("h").bitwiseAND(F.lit(slots - 1))).alias("s")).agg(F.collect_list("h").alias("hs"))
-    full = lex.sparkSession.range(slots).withColumnRenamed("id", "s").join(at, "s", "left").select("s", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs"))
-    full.createOrReplaceTempView(view)
-    table = f"(SELECT transform(array_sort(collect_list(struct(s, hs))), x -> x.hs) FROM {view})"
-    return F.expr(f"named_struct('mask', {slots - 1}L, 'table', {table})")
+    table = [[] for _ in range(slots)]
+    for (h,) in lex.orderBy("h").collect():
+        table[h & (slots - 1)].append(h)
+    return slots - 1, F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
 
 
-def in_band(t: Column, mask: Column, table: Column) -> Column:
-    kept = F.filter(t, lambda h: F.array_contains(F.element_at(table, (h.bitwiseAND(mask) + 1).cast("int")), h))
-    return F.when(F.size(kept) > 0, kept).otherwise(t)
+def in_band(df: DataFrame, t: str, lex: tuple[int, Column]) -> DataFrame:
+    """df with its column t, of sorted hashes, cut down to the lexicon, unless nothing would be left."""
+    mask, table = lex
+    held = F.filter(t, lambda h: F.array_contains(F.element_at(table, (h.bitwiseAND(F.lit(mask)) + 1).cast("int")), h))
+    return df.withColumn("_held", held).withColumn(t, F.when(F.size("_held") > 0, F.col("_held")).otherwise(F.col(t))).drop("_held")
 
 
 def member(p: Column, i: int) -> Column:
@@ -67,13 +72,9 @@ def member(p: Column, i: int) -> Column:
 
 
 def hashes(kept: Column) -> Column:
-    """ARRAY<BIGINT> of LEXICONS 32-bit hashes, 0 where the document has no term of the lexicon."""
+    """ARRAY<BIGINT> of LEXICONS 32-bit hashes, EMPTY where the document has no term of the lexicon."""
     pairs = F.transform(kept, lambda h: F.struct(h.alias("h"), *[F.xxhash64(h, F.lit(s)).alias(f"m{k}") for k, s in enumerate(SEEDS)]))
-
-    def one(i: int, ps: Column) -> Column:
-        own = F.transform(F.filter(ps, lambda p: member(p, i)), lambda p: p["h"])
-        return F.when(F.size(own) > 0, F.greatest(F.lit(1).cast("long"), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.lit(0).cast("long"))
-
+    one = lambda i, ps: F.xxhash64(F.filter(ps, lambda p: member(p, i))).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.get(F.transform(F.array(pairs), lambda ps: F.array(*[one(i, ps) for i in range(LEXICONS)])), F.lit(0))
 
 
@@ -84,7 +85,7 @@ def fingerprint(hs: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes where either has one, smaller lexicons weighing more by the terms that they leave out."""
     weights = F.lit([1 << k for k in HALVINGS])
-    both = F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), weights, lambda p, w: F.struct(F.when((p["x"] == p["y"]) & (p["x"] != 0), w).otherwise(0).alias("same"), F.when((p["x"] != 0) | (p["y"] != 0), w).otherwise(0).alias("any")))
+    both = F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), weights, lambda p, w: F.struct(F.when((p["x"] == p["y"]) & (p["x"] != EMPTY), w).otherwise(0).alias("same"), F.when((p["x"] != EMPTY) | (p["y"] != EMPTY), w).otherwise(0).alias("any")))
     sums = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("any")), lambda acc, x: F.struct((acc["same"] + x["same"]).alias("same"), (acc["any"] + x["any"]).alias("any")))
     return F.when(sums["any"] > 0, sums["same"] / sums["any"]).otherwise(F.lit(1.0)).cast("double")
 
@@ -96,19 +97,19 @@ def _bounds(docs: DataFrame) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, known) -> DataFrame:
     """doc_id, text, f and the same of the next document in descending doc_id (the first's for the last), as nxt.
-    docs: doc_id, text, f. Rows meet in ranges of doc_id; of every range only its first row goes to the range before
-    it."""
+    docs: doc_id, text; known adds f. Rows meet in ranges of doc_id; of every range only its first row goes to the
+    range before it."""
     cuts = _bounds(docs)
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))))
     rows = docs.withColumn("part", part)
     w = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
-    firsts = materialize(rows.groupBy("part").agg(F.min_by(F.struct("text", "f"), F.struct(F.bitwise_not("doc_id"), "text")).alias("nxt")), "firsts")
+    firsts = materialize(rows.groupBy("part").agg(F.min_by("text", F.struct(F.bitwise_not("doc_id"), "text")).alias("text")), "firsts")
     ring = sorted((r[0] for r in firsts.select("part").collect()), reverse=True)
     after = docs.sparkSession.createDataFrame(list(zip(ring, ring[1:] + ring[:1])), "_p int, _follows int")
-    heads = after.join(firsts, after["_follows"] == firsts["part"]).select("_p", F.col("nxt").alias("_head"))
-    rows = rows.withColumn("nxt", F.lead(F.struct("text", "f")).over(w))
+    heads = known(firsts).withColumnRenamed("part", "_first").join(after, F.col("_first") == F.col("_follows")).select("_p", F.struct("text", "f").alias("_head"))
+    rows = known(rows).withColumn("nxt", F.lead(F.struct("text", "f")).over(w))
     rows = rows.join(heads, F.col("nxt").isNull() & (F.col("part") == F.col("_p")), "left")
     return rows.select("doc_id", "text", "f", F.coalesce("nxt", "_head").alias("nxt"))
 
@@ -126,9 +127,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lex = lookup(lexicon(rows.select(terms(F.col("text")).alias("t"))))
 
     def hashed(df: DataFrame, name: str, text: str) -> DataFrame:
-        df = df.withColumn("lex", lex).withColumn("t", terms(F.col(text)))
-        return df.withColumn(name, hashes(in_band(F.col("t"), F.col("lex.mask"), F.col("lex.table")))).drop("lex", "t")
+        return in_band(df.withColumn("t", terms(F.col(text))), "t", lex).withColumn(name, hashes(F.col("t"))).drop("t")
 
-    known = with_next(hashed(rows, "f", "text")).withColumn("edited", edited(F.col("text"), F.col("nxt.text")))
+    known = with_next(rows, lambda df: hashed(df, "f", "text")).withColumn("edited", edited(F.col("text"), F.col("nxt.text")))
     known = hashed(known, "fe", "edited")
     return known.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("f")).alias("fingerprint"), fingerprint(F.col("fe")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("fe")).alias("near_edited"), likeness(F.col("f"), F.col("nxt.f")).alias("near_next"))

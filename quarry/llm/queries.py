@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, exact_dedup, imatch, mixing, secrets, sharding, simhash, token_counts, toxicity
+from quarry.llm import bpe, chat, exact_dedup, imatch, mixing, secret_scan, sharding, simhash, token_counts, toxicity
 from quarry.llm.common import table
 
 PROBE_TEXT = "\\### Assistant: </turn> ok"
@@ -50,7 +50,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_digests(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import materialize, text_of
 
 THRESHOLD = 0.7
 TRAIN_ROWS = 4_096
@@ -34,6 +34,8 @@ TERMS = 2_048
 #: A term is this many times as frequent in toxic documents as in clean ones.
 RATIO = 20.0
 CONTEXTS = 3
+#: Words before a term, or completions of a stem, that one task keeps; beyond this they are many.
+KEPT = 64
 COMPLETIONS = 4
 PREFIXES = range(4, 9)
 #: Edits allowed by a term's length, longest first.
@@ -44,6 +46,8 @@ STATES = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 FEATURES = 6
+#: Weights of the features before any row is seen: a misspelled term says as much as a term, a quoted one little.
+PRIOR = (4.0, 2.0, 2.0, 2.0, 0.5, 0.5)
 
 
 def fold(doc_id: Column) -> Column:
@@ -199,9 +203,9 @@ def _toxic_terms(batches):
             seen, before = set(), ""
             for w in WORD.findall(text.lower()):
                 for key in (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)):
-                    if len(left[key]) < 4 * CONTEXTS:
+                    if len(left[key]) < KEPT:
                         left[key].add(hash_of(before))
-                    if key[-1] == "*" and len(more[key]) < 4 * COMPLETIONS:
+                    if key[-1] == "*" and len(more[key]) < KEPT:
                         more[key].add(hash_of(w))
                     seen.add(key)
                 before = w
@@ -221,7 +225,7 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     toxic = toxic.groupBy("term").agg(F.sum("df").alias("df"), distinct("ctx").alias("ctx"), distinct("more").alias("more"))
     toxic = toxic.filter((F.col("df") >= CONTEXTS) & (F.col("ctx") >= CONTEXTS) & ((F.col("more") >= COMPLETIONS) | ~F.col("term").endswith("*")))
-    found = {r[0]: r[1] for r in toxic.orderBy(F.desc("df"), "term").limit(CANDIDATES).select("term", "df").collect()}
+    found = {r[0]: (r[1], r[2]) for r in toxic.orderBy(F.desc("df"), "term").limit(CANDIDATES).select("term", "df", F.least("df", "ctx")).collect()}
     wanted = frozenset(found)
 
     def clean_terms(batches):
@@ -234,15 +238,17 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
 
     clean = {r[0]: r[1] for r in sample.filter("y = 0").mapInArrow(clean_terms, "term string, df long").groupBy("term").agg(F.sum("df")).collect()}
     p, good = n_toxic / (n_toxic + n_clean), {}
-    for t, a in found.items():
+    for t, (a, told) in found.items():  # told: copies of a passage tell no more than one
         c = clean.get(t, 0)
-        q = a / (a + c)
-        beyond = (a + c) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) if q > p else 0
-        if (a + 0.5) / (n_toxic + 1) >= RATIO * (c + 0.5) / (n_clean + 1) and beyond > math.log(len(found) + 1):
+        q = told / (told + c)
+        beyond = (told + c) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) if q > p else 0
+        if (told + 0.5) / (n_toxic + 1) >= RATIO * (c + 0.5) / (n_clean + 1) and beyond > math.log(len(found) + 1) and 4 * told >= min(a, KEPT):
             good[t] = a
     # of nested stems the longest that has nearly all documents of the shorter
     stems: list[str] = []
     for t in sorted((t[:-1] for t in good if t[-1] == "*"), key=len, reverse=True):
+        if 2 * max((n for w, n in good.items() if w[-1] != "*" and w.startswith(t)), default=0) > good[t + "*"]:
+            continue  # it is that one word that tells
         longer = [s for s in stems if s.startswith(t)]
         if not longer or good[t + "*"] > 1.5 * sum(good[s + "*"] for s in longer):
             stems = [s for s in stems if not s.startswith(t)] + [t]
@@ -251,14 +257,15 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
-    """Logistic regression with balanced classes, by Newton's method; features only ever add to a score, quoted ones freely."""
+    """Logistic regression with balanced classes, by Newton's method, drawn towards PRIOR where the rows say little."""
     x1 = np.column_stack([x, np.ones(len(x))])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     ridge = np.array([0.05] * x.shape[1] + [1e-6]) * max(1.0, len(y) / 200)
-    beta = np.zeros(x1.shape[1])
+    prior = np.array([*PRIOR, -4.0])
+    beta = prior.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
-        step = np.linalg.solve((x1.T * (weight * p * (1 - p) + 1e-9)) @ x1 + np.diag(ridge), x1.T @ (weight * (y - p)) - ridge * beta)
+        step = np.linalg.solve((x1.T * (weight * p * (1 - p) + 1e-9)) @ x1 + np.diag(ridge), x1.T @ (weight * (y - p)) - ridge * (beta - prior))
         beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -268,7 +275,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model as plain values: words, prefixes, spared (ordinary words that a misspelling rule would catch), weights, bias."""
     empty = {"words": [], "prefixes": [], "spared": [], "weights": [0.0] * FEATURES, "bias": -30.0}
-    sample = _sample(docs, labels)
+    sample = materialize(_sample(docs, labels), "labelled")
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return empty

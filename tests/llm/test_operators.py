@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("quarry.llm")
 
-from quarry.llm import bpe, chat, components, exact_dedup, imatch, mixing, secrets, sharding, simhash, token_counts, toxicity  # noqa: E402
+from quarry.llm import bpe, chat, components, exact_dedup, imatch, mixing, secret_scan, sharding, simhash, token_counts, toxicity  # noqa: E402
 from quarry.llm.queries import QUERIES  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -313,9 +313,7 @@ def test_imatch_lookup_keeps_the_band(spark, data):
     n = t.count()
     band = {h for h, k in seen.items() if max(2, int(n * imatch.LOW_SHARE)) <= k <= max(4, int(n * imatch.HIGH_SHARE))}
     lex = imatch.lookup(imatch.lexicon(t.select("t")))
-    from pyspark.sql import functions as F
-
-    for r in t.withColumn("lex", lex).withColumn("k", imatch.in_band(F.col("t"), F.col("lex.mask"), F.col("lex.table"))).collect():
+    for r in imatch.in_band(t.withColumn("k", t["t"]), "k", lex).collect():
         assert r["k"] == ([h for h in r["t"] if h in band] or r["t"])
 
 
@@ -369,20 +367,20 @@ def test_secret_rules_stay(spark, docs, none):
         return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out))
 
     texts = [(r["doc_id"], r["text"] or "") for r in rows_of(df)]
-    got = rows_of(secrets.scan_digests(df))
+    got = rows_of(secret_scan.scan_digests(df))
     assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((i, sha(base(t))) for i, t in texts)
-    assert secrets.scan_digests(none).count() == 0
+    assert secret_scan.scan_digests(none).count() == 0
 
 
 def test_network_recalls_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = secrets.train(docs)
+    model = secret_scan.train(docs)
     assert model is not None and model["threshold"] >= 0.5
-    net = secrets.Network(model["weights"])
+    net = secret_scan.Network(model["weights"])
     fresh = ['my password=0123ab99cdef77aa22 in', 'token = "aa00bb11cc22dd33ee44ff5566778899aabbccdd"']
-    x = np.stack([secrets.window(t, s, e) for t in fresh for s, _, e in secrets.findings(t)[0][:1]])
+    x = np.stack([secret_scan.window(t, s, e) for t in fresh for s, _, e in secret_scan.findings(t)[0][:1]])
     prose = ["Ouwhea the of rend and threlyes ofthstthor nd", "entekeitte chschie schstge lichpfber verlich"]
-    y = np.stack([secrets.window(t, 10, 30) for t in prose])
+    y = np.stack([secret_scan.window(t, 10, 30) for t in prose])
     assert net.score(x).min() > 0.5 > net.score(y).max()
 
 
