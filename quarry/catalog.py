@@ -128,9 +128,9 @@ def close_terms(spark, sf):
     return ix.occurrences(docs(spark, sf)).filter(F.col("term").startswith("tha")).select("term").distinct().orderBy("term").limit(10)
 
 
-@query(f"WITH {TOK} SELECT term, levenshtein(term, 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE abs(length(term) - 5) <= 2 AND levenshtein(term, 'thung') <= 2 GROUP BY ALL")
+@query(f"WITH {TOK} SELECT term, levenshtein(term, 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE regexp_full_match(term, '[a-z]{3,7}') AND levenshtein(term, 'thung') <= 2 GROUP BY ALL")
 def spelling_candidates(spark, sf):
-    t = ix.occurrences(docs(spark, sf)).filter(F.length("term").between(3, 7)).groupBy("term").agg(F.count("*").alias("freq"))
+    t = ix.occurrences(docs(spark, sf)).filter(F.col("term").rlike("^[a-z]{3,7}$")).groupBy("term").agg(F.count("*").alias("freq"))
     return t.withColumn("distance", F.levenshtein("term", F.lit("thung"))).filter("distance <= 2").select("term", "distance", "freq")
 
 
@@ -224,7 +224,7 @@ def url_canonical(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", u.canonical(F.col("url")).alias("url"))
 
 
-@query(r"SELECT page_id, array_to_string(list_slice(string_split(lower(regexp_extract(url, '^\w+://([^/?#]*)', 1)), '.'), -2, NULL), '.') AS site FROM pages")
+@query(r"SELECT page_id, array_to_string(h[greatest(len(h) - 1, 1):len(h)], '.') AS site FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^\w+://([^/?#]*)', 1)), '.') AS h FROM pages)")
 def host_reduce(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", u.reduce_host(u.host_of(F.col("url")), 2).alias("site"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -28,12 +28,16 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return frequencies(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("wdf").alias("cf"))
 
 
+def _times(word: str) -> Column:
+    return F.size(F.filter("t", lambda x: x == word))
+
+
 def bm25(docs: DataFrame, terms: list[str], every: bool = True) -> DataFrame:
     """doc_id, score of the documents with every (or any) of the terms. One pass over the texts counts lengths and
     wanted terms inside each row, so that nothing but two numbers a document is aggregated."""
     terms = sorted(set(terms))
     toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    counted = toks.select("doc_id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = toks.select("doc_id", F.size("t").alias("dl"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     score, hit = F.lit(0.0), None
     for i in range(len(terms)):

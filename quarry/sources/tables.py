@@ -27,10 +27,10 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    return e.select(F.concat(F.lit("q"), (F.col("user_id") % 10).cast("string")).alias("query_name"), F.concat(F.lit("engine"), (F.col("user_id") % 3).cast("string")).alias("engine_name"), F.concat(F.lit("http://h"), (F.col("event_id") % 17).cast("string"), F.lit(".example/p")).alias("url"), F.col("value").alias("score"), F.unix_micros("ts").alias("date"), "event_id")
+    return e.select(F.concat(F.lit("q"), (F.col("user_id") % 10).cast("string")).alias("query_name"), F.concat(F.lit("engine"), (F.col("user_id") % 3).cast("string")).alias("engine_name"), F.concat(F.lit("http://h"), (F.col("event_id") % 17).cast("string"), F.lit(".example/p")).alias("url"), F.col("value").alias("score"), F.unix_micros(F.col("ts").cast("timestamp")).alias("date"), "event_id")
 
 
 def crawl_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "TO_CRAWL").when(F.col("event_type") == "purchase", "CRAWLED").when(F.col("event_type") == "view", "CRAWLING").otherwise("LINK")
-    return e.select(F.concat(F.lit("file:///u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("url"), status.alias("status"), F.col("user_id").alias("source_id"), F.unix_micros("ts").alias("date"))
+    return e.select(F.concat(F.lit("file:///u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("url"), status.alias("status"), F.col("user_id").alias("source_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("date"))

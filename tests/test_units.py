@@ -75,9 +75,9 @@ def test_moves(spark, tmp_path):
     want = {("MOVED", "/b", "/a"), ("CREATED", "/c", None), ("WRITE_CLOSED", "/e", None)}
     assert {(r.kind, r.location, r.previous) for r in pair_moves(e).collect()} == want | {("DELETED", "/d", None)}
     e.write.parquet(str(tmp_path / "in"))
-    q = pair_moves_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("moves").outputMode("append").start()
+    q = pair_moves_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("moves").outputMode("append").trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(90)
         assert {(r.kind, r.location, r.previous) for r in spark.sql("SELECT * FROM moves").collect()} == want
     finally:
         q.stop()
