@@ -128,7 +128,7 @@ def close_terms(spark, sf):
     return ix.occurrences(docs(spark, sf)).filter(F.col("term").startswith("tha")).select("term").distinct().orderBy("term").limit(10)
 
 
-@query(f"WITH {TOK} SELECT term, levenshtein(term, 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE regexp_full_match(term, '[a-z]{3,7}') AND levenshtein(term, 'thung') <= 2 GROUP BY ALL")
+@query(f"WITH {TOK} SELECT term, levenshtein(term, 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE regexp_full_match(term, '[a-z]{{3,7}}') AND levenshtein(term, 'thung') <= 2 GROUP BY ALL")
 def spelling_candidates(spark, sf):
     t = ix.occurrences(docs(spark, sf)).filter(F.col("term").rlike("^[a-z]{3,7}$")).groupBy("term").agg(F.count("*").alias("freq"))
     return t.withColumn("distance", F.levenshtein("term", F.lit("thung"))).filter("distance <= 2").select("term", "distance", "freq")
