@@ -229,9 +229,9 @@ def host_reduce(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", u.reduce_host(u.host_of(F.col("url")), 2).alias("site"))
 
 
-@query("SELECT item_id, replace(url_encode(substr(text, 1, 200)), '%2F', '/') AS escaped FROM (SELECT item_id, translate(text, '~*''()!+', '') AS text FROM benchmark)")
+@query("SELECT item_id, replace(url_encode(text), '%2F', '/') AS escaped FROM (SELECT item_id, translate(text, '~*''()!+', '') AS text FROM benchmark)")
 def url_escape(spark, sf):
-    b = src.table(spark, sf, "benchmark").select("item_id", F.substr(F.translate("text", "~*'()!+", ""), F.lit(1), F.lit(200)).alias("text"))
+    b = src.table(spark, sf, "benchmark").select("item_id", F.translate("text", "~*'()!+", "").alias("text"))
     return b.select("item_id", u.escape(F.col("text")).alias("escaped"))
 
 
@@ -251,9 +251,9 @@ def strip_markup(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", u.strip_markup(F.col("html")).alias("text"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{tx.CJKV}') AS cjkv, strlen(translate(lower(substr(text, 1, 300)), '{tx.ACCENTED}', '{tx.PLAIN}'))::INT AS plain_bytes FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '{tx.CJKV}') AS cjkv, strlen(translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}'))::INT AS plain_bytes FROM documents")
 def cjkv_flag(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.has_cjkv(F.col("text")).alias("cjkv"), F.octet_length(tx.strip_accents(F.lower(F.substr("text", F.lit(1), F.lit(300))))).alias("plain_bytes"))
+    return docs(spark, sf).select("doc_id", tx.has_cjkv(F.col("text")).alias("cjkv"), F.octet_length(tx.strip_accents(F.lower("text"))).alias("plain_bytes"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS leaves FROM events")
@@ -273,9 +273,9 @@ def move_pairing(spark, sf):
     return pair_moves(e).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CLICKS}, v AS (SELECT DISTINCT 'http://h' || (event_id % 17) || '.example/p' AS url FROM events WHERE event_type = 'view' AND user_id < 3) SELECT event_id, v.url IS NOT NULL AS viewed FROM clicks LEFT JOIN v USING (url)")
+@query(f"WITH {CLICKS}, v AS (SELECT DISTINCT 'http://h' || (event_id % 17) || '.example/p' AS url FROM events WHERE event_type = 'view') SELECT event_id, v.url IS NOT NULL AS viewed FROM clicks LEFT JOIN v USING (url)")
 def viewed_flags(spark, sf):
-    v = src.table(spark, sf, "events").filter("event_type = 'view' AND user_id < 3").select(F.concat(F.lit("http://h"), (F.col("event_id") % 17).cast("string"), F.lit(".example/p")).alias("url")).distinct().withColumn("seen", F.lit(True))
+    v = src.table(spark, sf, "events").filter("event_type = 'view'").select(F.concat(F.lit("http://h"), (F.col("event_id") % 17).cast("string"), F.lit(".example/p")).alias("url")).distinct().withColumn("seen", F.lit(True))
     return src.query_history(spark, sf).join(v, "url", "left").select("event_id", F.col("seen").isNotNull().alias("viewed"))
 
 
