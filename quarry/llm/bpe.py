@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,7 @@ class ByteBPE:
         self.table = PairTable(self.pairs)
         self.first = np.array([ranks.get(bytes([b]), PAD) for b in range(256)], np.uint16)
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def encode_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -159,25 +161,31 @@ class ByteBPE:
 
     def cut(self, text: str) -> list[str]:
         """Chunks that the pattern cuts on its own: a space between two other characters always begins a match."""
-        if not text or UNEVEN.search(text):
+        if not text or "\0" in text or UNEVEN.search(text):
             return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode_texts(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """For each text its chunks as (number of ids, ids joined by commas, decoded bytes)."""
+        """For each text its chunks as (number of ids, ids joined by commas, decoded bytes). Chunks are remembered in
+        two generations: a full one becomes the older one, and what is met again moves to the new one."""
         chunks = [self.cut(t) for t in texts]
-        known = self.pieces
-        if len(known) > CACHE:
-            known.clear()
-        new = list({c for x in chunks for c in x if c not in known})
-        cuts = [self.pattern.findall(c) for c in new]
-        pieces = list({p for x in cuts for p in x})
+        if len(self.pieces) > CACHE:
+            self.pieces, self.older = {}, self.pieces
+        known, older = self.pieces, self.older
+        new = []
+        for c in set(chain.from_iterable(chunks)).difference(known):
+            if (had := older.get(c)) is not None:
+                known[c] = had
+            else:
+                new.append(c)
+        # a chunk of ASCII letters after a space is one match
+        cuts = [[c] if c[0] == " " and c.isascii() and c[1:].isalpha() else self.pattern.findall(c) for c in new]
+        pieces = list(set(chain.from_iterable(cuts)))
         ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces])))
         for c, x in zip(new, cuts):
-            own = [i for p in x for i in ids[p]]
+            own = ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]]
             known[c] = (len(own), ",".join(map(str, own)), self.decode(own))
-        return [[known[c] for c in x] for x in chunks]
+        return [list(map(known.__getitem__, x)) for x in chunks]
 
 
 def load_ranks(name: str) -> dict[bytes, int]:
@@ -209,7 +217,7 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
                 part = b.slice(k, SLICE)
                 done = bpe.encode_texts([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([",".join(c[1] for c in x) for x in done]), pa.array([sum(c[0] for c in x) for x in done], pa.int64()), pa.array([b"".join(c[2] for c in x) for x in done], pa.binary())],
+                    [part.column(0), pa.array([",".join([c[1] for c in x]) for x in done]), pa.array([sum([c[0] for c in x]) for x in done], pa.int64()), pa.array([b"".join([c[2] for c in x]) for x in done], pa.binary())],
                     names=["doc_id", "ids_text", "n_tokens", "decoded"],
                 )
 
@@ -228,7 +236,7 @@ def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
                 part = b.slice(k, SLICE)
                 done = bpe.encode_texts([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([sum(c[0] for c in x) for x in done], pa.int64()), pa.array([sha(",".join(c[1] for c in x).encode()) for x in done]), pa.array([sha(b"".join(c[2] for c in x)) for x in done])],
+                    [part.column(0), pa.array([sum([c[0] for c in x]) for x in done], pa.int64()), pa.array([sha(",".join([c[1] for c in x]).encode()) for x in done]), pa.array([sha(b"".join([c[2] for c in x])) for x in done])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
