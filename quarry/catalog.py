@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import extract as ex
+from quarry.functions import language as la
 from quarry.functions import text as tx
 from quarry.functions import url as u
 from quarry.operators import analytics as an
+from quarry.operators import history as hi
 from quarry.operators import index as ix
 from quarry.plans import query as qp
+from quarry.service import SearchIndex
+from quarry.sources import exports
 from quarry.sources import tables as src
 
 QUERIES: dict = {}
@@ -305,3 +310,107 @@ def web_pseudo_scores(spark, sf):
     d = src.doc_info(spark, sf).select("site", "doc_id", "datetime_key")
     r = d.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("datetime_key"), "doc_id")))
     return r.filter("r <= 5").select("site", "doc_id", (F.lit(101).cast("long") - F.col("r")).alias("pseudo_score"))
+
+
+SCORES = ", ".join(f"{{'n': -len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in ws)}))), 'c': '{c}'}}" for c, ws in la.WORDS.items())
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOKENS} AS t FROM (SELECT doc_id, left(text, 1000) AS text FROM documents)), b AS (SELECT doc_id, list_transform(list_filter(list_sort([{SCORES}]), lambda x: x.n < 0), lambda x: x.c) AS c FROM t) SELECT doc_id, coalesce(c[1], 'unknown') AS language, greatest(len(c), 1)::INT AS candidates FROM b")
+def language_detect(spark, sf):
+    c = docs(spark, sf).select("doc_id", la.languages(F.col("text")).alias("c"))
+    return c.select("doc_id", F.element_at("c", 1).alias("language"), F.size("c").alias("candidates"))
+
+
+@query()
+def term_stems(spark, sf):
+    """Every distinct term with its stem; the stemmer is held against known stems in the tests."""
+    return la.stems(ix.occurrences(docs(spark, sf)))
+
+
+HIT = r"(with|was)([^\p{L}\p{N}<>]|$)"
+SNIP = rf"snip AS (SELECT doc_id, substr(text, greatest(length(regexp_extract(text, '(?is)^(.*?)(?:^|[^\p{{L}}\p{{N}}<>])(?:with|was)(?:[^\p{{L}}\p{{N}}<>]|$)', 1)) - 60, 0) + 1, 300) AS extract FROM documents)"
+
+
+@query(f"WITH {SNIP} SELECT * FROM snip")
+def snippet_window(spark, sf):
+    return docs(spark, sf).select("doc_id", ex.snippet(F.col("text"), ["with", "was"]).alias("extract"))
+
+
+@query(rf"WITH {SNIP} SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(extract, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(^|[^\p{{L}}\p{{N}}<>]){HIT}', '\1<b>\2</b>\3', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}<>]){HIT}', '\1<b>\2</b>\3', 'g') AS marked FROM snip")
+def highlight_terms(spark, sf):
+    return snippet_window(spark, sf).select("doc_id", ex.highlight(F.col("extract"), ["with", "was"]).alias("marked"))
+
+
+@query(f"WITH {CLICKS} SELECT DISTINCT url FROM clicks WHERE starts_with(url, 'http://h1') ORDER BY url LIMIT 10")
+def autocomplete_urls(spark, sf):
+    return hi.autocomplete(src.query_history(spark, sf), "http://h1")
+
+
+@query(f"WITH {CLICKS} SELECT url, score, date FROM clicks WHERE query_name = 'q3' AND engine_name = 'engine1' ORDER BY date DESC, score DESC, event_id LIMIT 15")
+def history_results(spark, sf):
+    return hi.history_results(src.query_history(spark, sf), "q3", "engine1", 15).select("url", "score", "date")
+
+
+@query(f"WITH {CLICKS} SELECT DISTINCT query_name, engine_name FROM clicks")
+def engines_used(spark, sf):
+    return src.query_history(spark, sf).select("query_name", "engine_name").distinct()
+
+
+@query(f"WITH {CLICKS} SELECT query_name, engine_name, url, event_id AS extract FROM (SELECT *, row_number() OVER (PARTITION BY query_name, engine_name, url ORDER BY date DESC, event_id DESC) AS r FROM clicks) WHERE r = 1")
+def latest_extracts(spark, sf):
+    return hi.latest_extract(src.query_history(spark, sf).withColumn("extract", F.col("event_id")))
+
+
+@query(f"WITH {CRAWL} SELECT url, CASE status WHEN 'CRAWLED' THEN 'TO_CRAWL' ELSE status END AS status, source_id FROM crawl WHERE status NOT IN ('ERROR', 'LINK', 'CRAWLING')")
+def crawl_start(spark, sf):
+    return hi.start_crawl(src.crawl_history(spark, sf)).select("url", "status", "source_id")
+
+
+@query(f"WITH {CRAWL} SELECT url, CASE WHEN status = 'ERROR' AND source_id = 7 THEN 'TO_CRAWL' ELSE status END AS status FROM crawl")
+def crawl_bulk_status(spark, sf):
+    return hi.set_status(src.crawl_history(spark, sf), "ERROR", "TO_CRAWL", 7).select("url", "status")
+
+
+@query(f"WITH {CRAWL} SELECT url FROM crawl WHERE NOT (starts_with(url, 'file:///u1') AND date < 1705500000000000 AND status = 'LINK')")
+def crawl_expire(spark, sf):
+    return hi.delete_items(src.crawl_history(spark, sf), "file:///u1", 1705500000000000, F.col("status") == "LINK").select("url")
+
+
+@query("SELECT n_nationkey::BIGINT AS source_id, n_name AS url FROM nation UNION ALL SELECT max(n_nationkey)::BIGINT + 1, 'file:///new' FROM nation")
+def source_insert(spark, sf):
+    s = src.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.col("n_name").alias("url"))
+    return hi.add_source(s, "file:///new")
+
+
+def metadata(spark, sf):
+    x = src.table(spark, sf, "labels").withColumn("url", F.concat(F.lit("file:///"), F.col("doc_id").cast("string")))
+    return x.select("url", F.explode(F.create_map(F.lit("label.quality"), F.col("quality").cast("string"), F.lit("label.toxic"), F.col("toxic").cast("string"))).alias("name", "value"))
+
+
+@query("SELECT 'file:///' || doc_id AS url, max(quality)::VARCHAR AS quality, max(toxic)::VARCHAR AS toxic FROM labels GROUP BY doc_id")
+def metadata_attributes(spark, sf):
+    a = hi.attributes(metadata(spark, sf), "label.")
+    return a.select("url", F.col("attributes")["quality"].alias("quality"), F.col("attributes")["toxic"].alias("toxic"))
+
+
+@query("SELECT DISTINCT 'file:///' || doc_id AS url FROM labels WHERE starts_with('file:///' || doc_id, 'file:///1') ORDER BY url LIMIT 20 OFFSET 5")
+def metadata_page(spark, sf):
+    return metadata(spark, sf).filter(F.col("url").startswith("file:///1")).select("url").distinct().orderBy("url").offset(5).limit(20)
+
+
+@query("SELECT event_id, 'INDEX' AS action FROM events WHERE event_type = 'click' AND NOT (user_id::VARCHAR LIKE '1%') UNION ALL SELECT event_id, 'UNINDEX' FROM events WHERE event_type = 'error' AND NOT (user_id::VARCHAR LIKE '1%')")
+def event_routing(spark, sf):
+    kind = F.when(F.col("event_type") == "click", "WRITE_CLOSED").when(F.col("event_type") == "error", "DELETED").otherwise("EXISTS")
+    e = src.table(spark, sf, "events").select("event_id", kind.alias("kind"), F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.lit("/f")).alias("location"))
+    return hi.route_events(e, ["/u1*"]).select("event_id", "action")
+
+
+@query(f"WITH {TOK}, {INFO} SELECT count(*) AS documents, sum(size)::BIGINT AS bytes, sum(len(t))::BIGINT AS terms FROM doc JOIN tk USING (doc_id)")
+def index_statistics(spark, sf):
+    return SearchIndex(src.doc_info(spark, sf), src.doc_labels(spark, sf)).statistics()
+
+
+@query(f"WITH {INFO} SELECT 'all' AS query, site AS engine, title AS caption, url, type, language, datetime_key AS modtime, size::VARCHAR AS size, '' AS abstract FROM doc WHERE NOT regexp_matches(title, '[<>&]')")
+def export_list(spark, sf):
+    d = src.doc_info(spark, sf).filter(~F.col("title").rlike("[<>&]"))
+    return exports.export_rows(d.select(F.lit("all").alias("query"), F.col("site").alias("engine"), F.col("title").alias("caption"), "url", "type", "language", F.col("datetime_key").alias("modtime"), "size", F.lit(None).alias("abstract")))
