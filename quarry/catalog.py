@@ -94,6 +94,10 @@ PARSED = {
     "filter_site": ("site:src3 AND lang:en", "site = 'src3' AND language = 'en'"),
     "filter_dir_recursive": ("dir:/src1", "dir = '/src1' OR starts_with(dir, '/src1/')"),
     "filter_file": ('file:"7.txt"', "file = '7.txt'"),
+    "filter_title": ("title:the lang:en", f"list_contains({TOKENS.replace('text', 'title')}, 'the') AND language = 'en'"),
+    "filter_path": ("path:src3", "site = 'src3'"),
+    "filter_inurl": ("inurl:file:///src1/en", "starts_with(url, 'file:///src1/en')"),
+    "filter_tokens": ("tokens:CJKV", f"regexp_matches(text, '{tx.CJKV}')"),
     "filter_class": ("class:text", "starts_with(type, 'text/')"),
     "size_range": ("100..2000b", "size BETWEEN 100 AND 2000"),
     "date_range": ("20240105..20240110", "date_key BETWEEN '20240105' AND '20240110'"),

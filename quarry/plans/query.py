@@ -11,10 +11,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import has_cjkv, tokens
 
 LEX = re.compile(r'\s*(?:(\()|(\))|(\w+):"([^"]*)"|"([^"]*)"|(\S+?)(?=[()]|\s|$))')
-FILTERS = {"lang": "language", "type": "type", "site": "site", "file": "file", "ext": "ext", "url": "url", "dir": "dir", "class": "type", "label": "labels"}
+FILTERS = {"lang": "language", "type": "type", "site": "site", "file": "file", "ext": "ext", "url": "url", "dir": "dir", "class": "type", "label": "labels", "title": "title", "path": "dir", "inurl": "url", "tokens": "text"}
 
 
 def lex(text: str) -> list[tuple[str, str]]:
@@ -130,6 +130,13 @@ def predicate(node) -> Column:
             return F.col("type").startswith(v + "/")
         if k == "dir":
             return (F.col("dir") == v) | F.col("dir").startswith(v.rstrip("/") + "/")
+        if k in ("title", "path"):
+            held = tokens(F.col("title") if k == "title" else F.replace("url", F.lit("."), F.lit(" ")))
+            return F.forall(F.array(*[F.lit(w) for w in re.findall(r"\w+", v.lower())]), lambda w: F.array_contains(held, w))
+        if k == "inurl":
+            return F.col("url").startswith(v)
+        if k == "tokens":
+            return has_cjkv(F.col("text")) if v == "CJKV" else F.lit(False)
         return F.col(FILTERS[k]) == v
     if kind == "prefix":
         return F.exists(t, lambda x: x.startswith(node[1][:-1].lower()))
