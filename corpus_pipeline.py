@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from quarry.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from quarry.llm.common import materialize, table
 
 
@@ -20,8 +20,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near copies (five-word Jaccard of 0.8 or more) the row with the smallest doc_id stays."""
+    return near_copies.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
