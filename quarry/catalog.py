@@ -244,6 +244,12 @@ def url_escape(spark, sf):
     return b.select("item_id", u.escape(F.col("text")).alias("escaped"))
 
 
+@query("SELECT item_id, replace(replace(replace(replace(replace(replace(url_encode(text), '%2F', '/'), '%21', '!'), '%2A', '*'), '%27', ''''), '%28', '('), '%29', ')') AS escaped FROM benchmark")
+def url_escape_all(spark, sf):
+    """url_escape over unchanged texts."""
+    return src.table(spark, sf, "benchmark").select("item_id", u.escape(F.col("text")).alias("escaped"))
+
+
 @query(f"WITH {INFO} SELECT split_part(type, '/', 1) AS class, 'txt' AS ext, count(*) AS docs, sum(size)::BIGINT AS bytes FROM doc GROUP BY ALL")
 def mime_class(spark, sf):
     d = src.doc_info(spark, sf)
@@ -418,3 +424,12 @@ def index_statistics(spark, sf):
 def export_list(spark, sf):
     d = src.doc_info(spark, sf).filter(~F.col("title").rlike("[<>&]"))
     return exports.export_rows(d.select(F.lit("all").alias("query"), F.col("site").alias("engine"), F.col("title").alias("caption"), "url", "type", "language", F.col("datetime_key").alias("modtime"), "size", F.lit(None).alias("abstract")))
+
+
+@query(f"""WITH {INFO} SELECT 'all' AS query, coalesce(site, '') AS engine,
+  replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(title, ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS caption,
+  coalesce(url, '') AS url, type, coalesce(language, '') AS language, coalesce(datetime_key, '') AS modtime, coalesce(size::VARCHAR, '') AS size, '' AS abstract FROM doc""")
+def export_list_all(spark, sf):
+    """export_list over every document, whatever its title holds."""
+    d = src.doc_info(spark, sf)
+    return exports.export_rows(d.select(F.lit("all").alias("query"), F.col("site").alias("engine"), F.col("title").alias("caption"), "url", "type", "language", F.col("datetime_key").alias("modtime"), "size", F.lit(None).alias("abstract")))
