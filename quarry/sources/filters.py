@@ -144,7 +144,10 @@ def apply_filters(files: DataFrame) -> DataFrame:
     return files.select("url", "type", "content").mapInPandas(run, OUT)
 
 
-def crawl(spark, path: str, max_size: int = 1 << 26) -> DataFrame:
-    """A directory tree as files to filter: url, modtime, size, content; dotfiles are skipped."""
+def crawl(spark, path: str, max_size: int = (1 << 31) - 1) -> DataFrame:
+    """A directory tree as files to filter: url, modtime, size, content; dotfiles are skipped. Files beyond max_size
+    (by default, what a binary value holds) have null content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.filter(~f["path"].rlike(r"/\.[^/]*") & (f["length"] <= max_size)).selectExpr("path AS url", "modificationTime AS modtime", "length AS size", "content")
+    f = f.filter(~f["path"].rlike(r"/\.[^/]*"))
+    rows = lambda x, content: x.selectExpr("path AS url", "modificationTime AS modtime", "length AS size", content)
+    return rows(f.filter(f["length"] <= max_size), "content").unionByName(rows(f.filter(f["length"] > max_size), "CAST(NULL AS BINARY) AS content"))
