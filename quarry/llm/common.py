@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and there are no
+    executors on other machines (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
@@ -37,10 +40,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that materialize() wrote; frames that read them end with this."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables materialize() has written and not yet deleted."""
+    return len(_written)
+
+
+def release(since: int = 0, last: int = 0) -> None:
+    """Delete the tables that materialize() wrote after the first `since`, but for the `last` ones; frames that read
+    them end with this."""
+    gone = _written[since : len(_written) - last]
+    del _written[since : len(_written) - last]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,3 +65,37 @@ atexit.register(release)
 def text_of(df: DataFrame):
     """The text column, null as empty."""
     return F.coalesce(df["text"], F.lit(""))
+
+
+def as_struct(df: DataFrame):
+    """The whole row as one column, doc, so that no other name can clash with its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows (doc, doc_id, key) but those of gone (doc_id, key); null ids are equal."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows[key] == gone["_key"]), "left_anti")
+
+
+def once(rows: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """One row each of those of again (doc_id, key), counted before they meet; all other rows as they are."""
+    if again.isEmpty():
+        return rows
+    twice = again.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"))
+    same = rows["doc_id"].eqNullSafe(twice["_id"]) & (rows[key] == twice["_key"])
+    one = rows.join(twice, same, "left_semi").groupBy("doc_id", key).agg(F.first("doc").alias("doc"))
+    return rows.join(twice, same, "left_anti").unionByName(one.select(rows.columns))
+
+
+def first_of_groups(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of each group one row of docs: that with the smallest doc_id (null ids last, then the smaller key), one of
+    equal rows. rooted: doc_id, key (xxhash64 of the text), times, root. Only ids and keys are grouped; texts meet the
+    ids of the rows that go."""
+    low = rooted.groupBy("root").agg(F.count("*").alias("members"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
+    groups = materialize(low.filter("members > 1").select("root", F.col("low.doc_id").alias("low_id"), F.col("low.key").alias("low_key")), "groups")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("key") == F.col("low_key")))
+    gone = materialize(rooted.join(groups, "root").filter(other).select("doc_id", "key"), "gone")
+    again = materialize(rooted.filter("times > 1").select("doc_id", "key"), "again")
+    rows = docs.select(as_struct(docs), F.col("doc_id"), F.xxhash64(text_of(docs)).alias("key"))
+    return once(without(rows, gone, "key"), again, "key").select("doc.*")

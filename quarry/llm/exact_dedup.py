@@ -6,7 +6,8 @@ broadcast with the row that stays, and their other rows go map-side. All other r
 by digest. Only ids and digests move, unless whole documents are asked for.
 
 Defined cases: null text counts as empty; null doc_id sorts below any other; of repeated rows (equal doc_id and
-text) one stays; an empty table gives no rows; columns besides doc_id and text are ignored or carried along.
+text) one stays, any one if their other columns differ; very long texts are digested whole; an empty table gives no
+rows; columns besides doc_id and text are ignored or carried along unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, text_of
+from quarry.llm.common import as_struct, materialize, once, text_of, without
 
 COUNTERS = 1024
 
@@ -59,26 +60,39 @@ def heavy(dig: DataFrame) -> DataFrame:
     return materialize(exact.filter(F.col("n") >= least), "heavy")
 
 
-def _split(rows: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with n and keep_id of heavy digests: those that lose map-side, and the rest."""
-    marked = rows.join(F.broadcast(winners.withColumnsRenamed({"n": "_n", "keep_id": "_keep"})), "h", "left")
-    loses = F.coalesce(F.col("_keep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("_keep"))), F.lit(False))
-    return marked.filter(loses), marked.filter(~loses)
+def _loses(keep: Column) -> Column:
+    return F.coalesce(F.col("doc_id").isNull() | (F.col("doc_id") < keep), F.lit(False))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, h (SHA-256 of the text, binary)."""
+    """One row per row of docs: doc_id, keep_id, group_size, kept, h (SHA-256 of the text, binary). Rows of heavy
+    digests are settled map-side; those of them that carry the winner's id (more than one if rows repeat) are counted
+    before they meet."""
     dig = digests(docs)
-    lost, rest = _split(dig, heavy(dig))
+    winners = heavy(dig).withColumnsRenamed({"n": "group_size", "keep_id": "winner"})
+    marked = dig.join(F.broadcast(winners), "h", "left")
+    often, cols = F.col("group_size").isNotNull(), ["doc_id", "keep_id", "group_size", "kept", "h"]
+    lost = often & F.col("winner").isNotNull() & _loses(F.col("winner"))
+    lost_rows = marked.filter(lost).select("doc_id", F.col("winner").alias("keep_id"), "group_size", F.lit(False).alias("kept"), "h")
+    best = marked.filter(often & ~lost).groupBy("doc_id", "winner", "group_size", "h").agg(F.count("*").alias("times"))
+    best_rows = best.select("doc_id", F.col("winner").alias("keep_id"), "group_size", F.explode(F.expr("transform(sequence(1L, times), i -> i = 1)")).alias("kept"), "h")
     w = Window.partitionBy("h")
-    cols = ["doc_id", F.coalesce("_keep", F.max("doc_id").over(w)).alias("keep_id"), F.coalesce("_n", F.count("*").over(w)).alias("group_size"), (F.row_number().over(w.orderBy(F.desc_nulls_last("doc_id"))) == 1).alias("kept"), "h"]
-    lost = lost.select("doc_id", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.lit(False).alias("kept"), "h")
-    return rest.select(*cols).unionByName(lost)
+    rest = marked.filter(~often).select("doc_id", F.max("doc_id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"), (F.row_number().over(w.orderBy(F.desc_nulls_last("doc_id"))) == 1).alias("kept"), "h")
+    return rest.select(cols).unionByName(best_rows.select(cols)).unionByName(lost_rows.select(cols))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, whole."""
-    winners = heavy(digests(docs))
-    _, rest = _split(docs.withColumn("h", digest(text_of(docs))), winners)
-    w = Window.partitionBy("h").orderBy(F.desc_nulls_last("doc_id"))
-    return rest.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, whole and unchanged. Ids and digests decide; texts meet the ids of the rows that go,
+    and are shuffled only if those are too many for Spark to broadcast."""
+    dig = digests(docs)
+    winners = heavy(dig)
+    rare = dig.join(F.broadcast(winners.select("h")), "h", "left_anti").groupBy("h", "doc_id").agg(F.count("*").alias("times"))
+    ranked = rare.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc_nulls_last("doc_id"))))
+    ranked = materialize(ranked.filter("rank > 1 OR times > 1"), "rare")
+    best = winners.join(dig, (dig["h"] == winners["h"]) & dig["doc_id"].eqNullSafe(winners["keep_id"])).groupBy(winners["h"], "doc_id").agg(F.count("*").alias("times"))
+    again = materialize(ranked.filter("rank = 1").select("h", "doc_id").unionByName(best.filter("times > 1").select("h", "doc_id")), "again")
+    whole = docs.select(as_struct(docs), F.col("doc_id"), digest(text_of(docs)).alias("h"))
+    marked = whole.join(F.broadcast(winners.select("h", F.col("keep_id").alias("winner"))), "h", "left")
+    kept = marked.filter(~(F.col("winner").isNotNull() & _loses(F.col("winner")))).drop("winner")
+    kept = without(kept, ranked.filter("rank > 1"), "h")
+    return once(kept, again, "h").select("doc.*")
