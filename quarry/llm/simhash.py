@@ -2,17 +2,19 @@
 
 Equal fingerprints are one point. A tree over a bounded sample of points splits the space by Hamming distance from
 vantage points into shards of about SHARD points; each point lives in one shard and also visits every shard with a
-higher number that a ball of the radius around it overlaps (triangle bounds). Within a shard the same pruning goes
-on down to small leaves, which are compared in blocks. A shard emits a spanning forest of its links rather than all
+higher number that a ball of the radius around it overlaps (triangle bounds). Within a shard, dealt out in blocks, the
+same pruning goes on down to small leaves, which are compared in blocks. A shard emits a spanning forest of its links rather than all
 of them, and alternating stars join the forests. Whatever the sample, every pair within the radius meets.
 
-Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; null
-doc_ids are never the smallest unless a component has no other; an empty table gives no rows; other columns are
-ignored.
+Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; very long
+texts are read whole; repeated rows are rows of one group, of which near_dedup keeps one; null doc_ids are never the
+smallest unless a component has no other; an empty table gives no rows; other columns are ignored or carried along.
+Hot fingerprints and large components meet in joins on one key, which Spark's adaptive skew join splits.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_of
+from quarry.llm.common import first_of_groups, materialize, text_of
 from quarry.llm.components import connected_components
 
 WORDS = 4
@@ -31,27 +33,38 @@ SHARD = 65_536
 SAMPLE = 8_192
 LEAF = 96
 BLOCK = 1 << 21
+#: Points of a shard, and points that ask it, that one task holds.
+OWN, ASK = 65_536, 32_768
+#: Characters that bytes.split() takes for white space: a text of nothing else has no words.
+EMPTY = re.compile(r"[\x20\x09-\x0D]*")
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits, each set where over half of the shingles' XXH64 have it; 0 without words."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """XXH64 of the shingles in order, repeats included: the whole sequence where it is shorter."""
     found = text.encode().lower().split()
-    if not found:
-        return 0
     joined = b" ".join(found)
     xx = xxhash.xxh64_intdigest
     if len(found) <= words:
-        return xx(joined, SEED)
+        return np.array([xx(joined, SEED)], np.uint64)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends]
-    hashes = np.array([xx(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])], dtype="<u8")
-    ones = np.zeros(64, np.int64)
+    return np.array([xx(joined[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it."""
+    ones, hashes = np.zeros(64, np.int64), hashes.astype("<u8", copy=False)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The majority bits of a text's shingles; 0 without words."""
+    return majority(shingle_hashes(text, words)) if not EMPTY.fullmatch(text) else 0
+
+
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(x or "") for x in b.column(1).to_pylist()], dtype=np.uint64)
@@ -158,9 +171,9 @@ class Forest:
                 a, b = a[keep], b[keep]
 
 
-def spanning_links(points: np.ndarray, homes: int, radius: int = RADIUS) -> list[tuple[int, int]]:
+def spanning_links(points: np.ndarray, homes: int, radius: int = RADIUS, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """points: distinct uint64, the first `homes` live here, the others visit. A spanning forest, as index pairs, of
-    the links of which one end at least lives here."""
+    the links between a point that lives here and one of asks (indices; all points, if not given)."""
     forest, rng = Forest(len(points)), np.random.default_rng(11)
 
     def leaf(own: np.ndarray, ask: np.ndarray) -> None:
@@ -173,7 +186,7 @@ def spanning_links(points: np.ndarray, homes: int, radius: int = RADIUS) -> list
             far = a != b
             forest.add(a[far], b[far])
 
-    stack = [(np.arange(homes), np.arange(len(points)))]
+    stack = [(np.arange(homes), np.arange(len(points)) if asks is None else asks)]
     while stack:
         own, ask = stack.pop()
         if not len(own) or not len(ask):
@@ -192,18 +205,22 @@ def spanning_links(points: np.ndarray, homes: int, radius: int = RADIUS) -> list
 
 
 def _shard_links(t: pa.Table) -> pa.Table:
-    fp = t.column("fp").to_numpy().view(np.uint64)
-    home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
-    points = np.concatenate([fp[home], fp[~home]])
-    edges = np.array(spanning_links(points, int(home.sum())), np.int64).reshape(-1, 2)
+    fp, own = t.column("fp").to_numpy().view(np.uint64), t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    homes = np.unique(fp[own])
+    ask = np.unique(fp[~own])
+    points = np.concatenate([homes, np.setdiff1d(ask, homes, assume_unique=True)])
+    order = np.argsort(points)
+    edges = np.array(spanning_links(points, len(homes), asks=order[np.searchsorted(points, ask, sorter=order)]), np.int64).reshape(-1, 2)
     return pa.table({"u": points[edges[:, 0]].view(np.int64), "v": points[edges[:, 1]].view(np.int64)})
 
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
-    """distinct: fp. Links u, v that span the components of fingerprints within RADIUS bits."""
+    """distinct: fp. Links u, v that span the components of fingerprints within RADIUS bits. A shard's points, and
+    those that ask it, are dealt out in blocks of about OWN and ASK; every block of points meets every block of askers
+    in a task of its own, so that no task grows with the table, however uneven the shards are."""
     n = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    nodes = build_tree(sample, int(min(4096, max(1, -(-n // SHARD)))))
+    nodes = build_tree(sample, max(1, -(-n // SHARD)))
 
     def assign(batches):
         for b in batches:
@@ -211,8 +228,17 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
             idx, shard, home = route(nodes, fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[idx]), pa.array(home)], names=["shard", "fp", "home"])
 
-    routed = distinct.select("fp").mapInArrow(assign, "shard int, fp long, home boolean")
-    return routed.groupBy("shard").applyInArrow(_shard_links, "u long, v long")
+    routed = materialize(distinct.select("fp").mapInArrow(assign, "shard int, fp long, home boolean"), "routed")
+    # at most SAMPLE rows, one a leaf of the tree
+    sizes = routed.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("own"), F.count("*").alias("ask"))
+    blocks = sizes.select("shard", F.ceil(F.greatest("own", F.lit(1)) / OWN).cast("int").alias("owns"), F.ceil(F.col("ask") / ASK).cast("int").alias("asks"))
+    dealt = routed.join(F.broadcast(blocks), "shard")
+    all_ = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("fp"), F.col("owns")).cast("int")
+    ask = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("asks")).cast("int")
+    owns = dealt.filter("home").select("shard", "fp", F.lit(True).alias("own"), own.alias("i"), F.explode(all_(F.col("asks"))).alias("j"))
+    asks = dealt.select("shard", "fp", F.lit(False).alias("own"), F.explode(all_(F.col("owns"))).alias("i"), ask.alias("j"))
+    return owns.unionByName(asks).groupBy("shard", "i", "j").applyInArrow(_shard_links, "u long, v long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -226,6 +252,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates, the rows of docs with the smallest doc_id (one row if ids are unique)."""
-    keep = materialize(near_groups(docs).filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """Of each group of near-duplicates one row of docs: that with the smallest doc_id."""
+    rows = docs.select(F.xxhash64(text_of(docs)).alias("doc_id"), text_of(docs).alias("text"))
+    roots = materialize(near_groups(rows).select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct(), "roots")
+    ids = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    return first_of_groups(docs, materialize(ids.join(roots, "key"), "rooted"))
