@@ -1,6 +1,8 @@
 """Near copies by exact likeness: texts whose sets of five-word shingles have a Jaccard index of at least 0.8.
 
-Of two such sets, each holds one of the other's first shingles: in any order common to all texts, among the first
+Fingerprints of op5 over five words, linked through its vantage-point trees, give the first candidates; likeness
+confirms them. At 0.8 fingerprints lie about ten bits apart, far beyond a radius at which triangle bounds still prune, so a
+join of the shingle sets finds the others. Of two such sets, each holds one of the other's first shingles: in any order common to all texts, among the first
 n - ceil(0.8 n) + 1 of n. The order puts shingles that a sample holds often last, so that few texts meet without
 need. Texts that meet are paired where their sizes and the places of the shared shingle leave 0.8 possible; pairs
 whose parity sketches differ in more bits than alike sets can are dropped (a bit is the parity of the shingles that
@@ -15,37 +17,27 @@ told apart by 64-bit XXH64.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_of
+from quarry.llm.common import first_of_groups, materialize, text_of
 from quarry.llm.components import connected_components
+from quarry.llm.simhash import link_fingerprints, majority, shingle_hashes
 
 WORDS = 5
-SEED = 42
 SAMPLE = 4_096
 COMMON = 131_072
 SHARD_BYTES = 8_000_000
 BLOCK = 1 << 20
-SLICE = 256
+SLICE = 128
 POSTING = "shingle long, key long, n int, pos int"
 
 
 def shingles(text: str) -> np.ndarray:
     """Distinct XXH64 of the five-word shingles, sorted."""
-    found = text.encode().lower().split()
-    joined = b" ".join(found)
-    xx = xxhash.xxh64_intdigest
-    if len(found) <= WORDS:
-        return np.array([xx(joined, SEED)], np.uint64)
-    ends = list(accumulate(len(w) + 1 for w in found))
-    starts = [0, *ends]
-    return np.unique(np.array([xx(joined[a : b - 1], SEED) for a, b in zip(starts, ends[WORDS - 1 :])], np.uint64))
+    return np.unique(shingle_hashes(text, WORDS))
 
 
 def alike(shared, a, b):
@@ -187,6 +179,17 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, tag: str)
     return materialize(both(p, materialize(sets, f"{tag}-sets"), "h").filter(likeness).select("u", "v"), f"{tag}-links")
 
 
+def _fingerprint_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs of keys that span the groups of fingerprints within op5's radius, by its vantage-point trees; equal
+    fingerprints along a star."""
+    points = materialize(firsts.groupBy("fp").agg(F.min("key").alias("rep")), "points")
+    links = link_fingerprints(points.select("fp"))
+    for side in ("u", "v"):
+        links = links.join(points.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    equal = firsts.select("key", "fp").join(points, "fp").filter("key != rep").select(F.least("key", "rep").alias("u"), F.greatest("key", "rep").alias("v"))
+    return links.select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v")).unionByName(equal)
+
+
 def near_roots(rows: DataFrame) -> DataFrame:
     """rows: key, text. key and root (the smallest key of its group) of every text that is not its group's root."""
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -194,17 +197,20 @@ def near_roots(rows: DataFrame) -> DataFrame:
 
     def read(batches):
         for b in _slices(batches):
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            all_ = [shingle_hashes(t, WORDS) for t in b.column(1).to_pylist()]
+            bits = np.array([majority(h) for h in all_], np.uint64)
+            sets = [np.unique(h) for h in all_]
             first = [first_shingles(h, common, rank).view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["key", "n", "sketch", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(bits.view(np.int64))], names=["key", "n", "sketch", "first", "fp"])
 
-    firsts = materialize(rows.select("key", "text").mapInArrow(read, "key long, n int, sketch binary, first array<long>"), "firsts")
+    firsts = materialize(rows.select("key", "text").mapInArrow(read, "key long, n int, sketch binary, first array<long>, fp long"), "firsts")
     shard = F.pmod(F.xxhash64("shingle"), F.lit(int(max(1, size // SHARD_BYTES))))
     postings = firsts.select("key", "n", F.posexplode("first").alias("pos", "shingle")).select("shingle", "key", "n", "pos")
     runs = materialize(postings.groupBy(shard).applyInArrow(_shared, POSTING), "runs")
     sketches = firsts.select("key", "n", "sketch").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sketches = materialize(sketches, "sketches")
-    links = _confirmed(runs.groupBy(shard).applyInArrow(_paths, "u long, v long"), sketches, rows, "path")
+    paths = runs.groupBy(shard).applyInArrow(_paths, "u long, v long")
+    links = _confirmed(_fingerprint_pairs(firsts).unionByName(paths), sketches, rows, "path")
     roots = connected_components(links).withColumnRenamed("u", "key")
     rooted = runs.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     more = _confirmed(rooted.groupBy(shard).applyInArrow(_across, "u long, v long"), sketches, rows, "across")
@@ -213,19 +219,8 @@ def near_roots(rows: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Of each group of near copies one row of docs: that with the smallest doc_id."""
-    key = F.xxhash64(text_of(docs))
-    rows = docs.select(F.col("doc_id"), key.alias("key"), text_of(docs).alias("text"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64(text_of(docs)).alias("key"), text_of(docs).alias("text"))
     roots = near_roots(rows.select("key", "text"))
     ids = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
     rooted = materialize(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    low = rooted.groupBy("root").agg(F.count("*").alias("members"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
-    groups = materialize(low.filter("members > 1").select("root", F.col("low.doc_id").alias("low_id"), F.col("low.key").alias("low_key")), "groups")
-    other = ~(F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("key") == F.col("low_key")))
-    gone = materialize(rooted.join(groups, "root").filter(other).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "gone")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
-    again = materialize(rooted.filter("times > 1").select(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key")), "again")
-    if again.isEmpty():
-        return kept
-    same = kept["doc_id"].eqNullSafe(again["again_id"]) & (F.xxhash64(text_of(kept)) == again["again_key"])
-    once = kept.join(again, same, "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_key"])
-    return kept.join(again, same, "left_anti").unionByName(once.drop("_key"))
+    return first_of_groups(docs, rooted)
