@@ -4,7 +4,9 @@ Training looks at a bounded sample of labelled rows (TRAIN_ROWS a class). A term
 hold it far more often than clean ones, beyond chance, and after many different words: a word that is frequent
 only because a passage was copied has always the same word before it. Stems whose many completions behave like that
 enter as prefixes. Scoring walks every word of a text through the product of the Levenshtein automata with the
-lexicon trie, made deterministic as it goes, so misspelled terms are found too. Each hit is weighed by its window:
+lexicon trie, made deterministic as it goes, so misspelled terms are found too; words with digits or symbols between
+their letters walk through a product that allows edits from four letters on. A misspelling is spared, whoever wrote it,
+if clean documents hold it and toxic ones don't hold it far more often. Each hit is weighed by its window:
 inside quotation marks it counts as quoted, else as abuse. A logistic model over the counts gives the score.
 
 Defined cases: null and empty texts have no hits and score low; very long texts are scored whole; labels that are
@@ -17,11 +19,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +32,25 @@ from quarry.llm.common import materialize, text_of
 
 THRESHOLD = 0.7
 TRAIN_ROWS = 4_096
-CANDIDATES = 65_536
-TERMS = 2_048
 #: A term is this many times as frequent in toxic documents as in clean ones.
 RATIO = 20.0
 CONTEXTS = 3
-#: Words before a term, or completions of a stem, that one task keeps; beyond this they are many.
-KEPT = 64
+#: So many different words before a term are enough, however frequent it is.
+ENOUGH = 64
 COMPLETIONS = 4
 PREFIXES = range(4, 9)
 #: Edits allowed by a term's length, longest first.
 EDITS = ((10, 2), (5, 1), (0, 0))
+#: The same for words with digits or symbols between their letters, which ordinary words don't have.
+DISGUISED = ((8, 2), (4, 1), (0, 0))
 WINDOW = 60
 CACHE = 300_000
 STATES = 20_000
+#: Documents counted together while training.
+SLICE = 64
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters with one or two digits or symbols in between, begun and ended by a letter.
+MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[\d_*@$!|+.-]{1,2}[^\W\d_]+)+(?![^\W_])")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 FEATURES = 6
 #: Weights of the features before any row is seen: a misspelled term says as much as a term, a quoted one little.
@@ -58,13 +65,13 @@ class LexiconAutomaton:
     """Whole terms within a few edits, and prefixes without edits, over one trie. States of the deterministic
     automaton are sets of (trie node, edits so far), found when first needed."""
 
-    def __init__(self, words: list[str], prefixes: list[str]):
+    def __init__(self, words: list[str], prefixes: list[str], edits=EDITS):
         self.kids: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]  # edits that a term ending here allows
         self.stems: list[bool] = [False]
         self.budget: list[int] = [0]  # the most edits that any term below allows
         for w in words:
-            allowed = next(k for n, k in EDITS if len(w) >= n)
+            allowed = next(k for n, k in edits if len(w) >= n)
             at = self._insert(w, allowed)
             self.ends[at] = allowed
         for p in prefixes:
@@ -156,28 +163,33 @@ class Scorer:
     def __init__(self, model: dict):
         self.model = model
         self.automaton = LexiconAutomaton(model["words"], model["prefixes"])
-        self.cache: dict[str, int] = dict.fromkeys(model["spared"], 0)
+        self.masked = LexiconAutomaton(model["words"], [], DISGUISED)
+        self.spared = frozenset(model["spared"])
+        self.cache: dict[str, int] = {}
 
     def match(self, word: str) -> int:
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > CACHE:
-                self.cache = dict.fromkeys(self.model["spared"], 0)
-            got = self.cache[word] = self.automaton.match(word)
+                self.cache.clear()
+            automaton = self.automaton if word.isalpha() else self.masked
+            got = self.cache[word] = 0 if word in self.spared else automaton.match(word)
         return got
 
     def features(self, text: str) -> list[float]:
-        """Whether any hit is abuse, then logs of the counts of terms, misspelled terms, stems; of quoted hits; and whether all are quoted."""
+        """Whether any hit is abuse, then logs of the counts of terms, misspelled terms, stems; of quoted hits; and
+        whether all are quoted. A disguised word counts beside the plain words that it is made of."""
         low = text.lower()
-        words = set(WORD.findall(low))
+        words = {*WORD.findall(low), *MASKED.findall(low)}
         cache = self.cache
         hits = {w: k for w in words if (k := cache[w] if w in cache else self.match(w))}
         if not hits:
             return [0.0] * FEATURES
         n = Counter()
-        for m in WORD.finditer(low):
-            if (k := hits.get(m.group())) is not None:
-                n[4 if quoted(low, m.start(), m.end()) else k] += 1
+        for pattern in (WORD, MASKED):
+            for m in pattern.finditer(low):
+                if (k := hits.get(m.group())) is not None:
+                    n[4 if quoted(low, m.start(), m.end()) else k] += 1
         abuse = n[1] + n[2] + n[3]
         return [float(abuse > 0), math.log1p(n[1]), math.log1p(n[2]), math.log1p(n[3]), math.log1p(n[4]), float(n[4] > 0 and not abuse)]
 
@@ -196,53 +208,63 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(picked), F.col("_d") == F.col("_id")).select("y", "text")
 
 
-def _toxic_terms(batches):
-    df, left, more = Counter(), defaultdict(set), defaultdict(set)
-    for b in batches:
-        for text in b.column(1).to_pylist():
-            seen, before = set(), ""
-            for w in WORD.findall(text.lower()):
-                for key in (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)):
-                    if len(left[key]) < KEPT:
-                        left[key].add(hash_of(before))
-                    if key[-1] == "*" and len(more[key]) < KEPT:
-                        more[key].add(hash_of(w))
-                    seen.add(key)
-                before = w
-            df.update(seen)
-    keys = list(df)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([df[k] for k in keys], pa.int64()), pa.array([list(left[k]) for k in keys], pa.list_(pa.int64())), pa.array([list(more[k]) for k in keys], pa.list_(pa.int64()))], names=["term", "df", "ctx", "more"])
+def hash_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
-def hash_of(word: str) -> int:
-    import xxhash
+def _keys(word: str) -> list[str]:
+    """The word, and its beginnings as stems."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
-    return xxhash.xxh64_intdigest(word) >> 1
+
+def _slices(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
+def _frequencies(batches):
+    """In how many documents of each class every word and stem is, few documents at a time."""
+    for b in _slices(batches):
+        df = {0: Counter(), 1: Counter()}
+        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            df[y].update({k for w in set(WORD.findall(text.lower())) for k in _keys(w)})
+        keys = list(df[0].keys() | df[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([df[y][k] for k in keys], pa.int64()) for y in (1, 0)]], names=["term", "toxic", "clean"])
 
 
 def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    toxic = sample.filter("y = 1").mapInArrow(_toxic_terms, "term string, df long, ctx array<long>, more array<long>")
-    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    toxic = toxic.groupBy("term").agg(F.sum("df").alias("df"), distinct("ctx").alias("ctx"), distinct("more").alias("more"))
-    toxic = toxic.filter((F.col("df") >= CONTEXTS) & (F.col("ctx") >= CONTEXTS) & ((F.col("more") >= COMPLETIONS) | ~F.col("term").endswith("*")))
-    found = {r[0]: (r[1], r[2]) for r in toxic.orderBy(F.desc("df"), "term").limit(CANDIDATES).select("term", "df", F.least("df", "ctx")).collect()}
-    wanted = frozenset(found)
-
-    def clean_terms(batches):
-        df = Counter()
-        for b in batches:
+    """Words and stems. What may tell is decided by exact counts over the sample; as a term must be in RATIO times as
+    many toxic documents as clean ones, there are at most about 2 / RATIO of the toxic documents' distinct terms."""
+    df = sample.mapInArrow(_frequencies, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    df = materialize(df.filter(F.col("toxic") >= CONTEXTS), "terms")
+    tested = df.count()
+    often = (F.col("toxic") + 0.5) / (n_toxic + 1) >= RATIO * (F.col("clean") + 0.5) / (n_clean + 1)
+    counts = {r[0]: (r[1], r[2]) for r in df.filter(often).collect()}
+    wanted = frozenset(counts)
+
+    def contexts(batches):
+        for b in _slices(batches):
+            seen = set()
             for text in b.column(1).to_pylist():
-                words = set(WORD.findall(text.lower()))
-                df.update(wanted.intersection(words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
-
-    clean = {r[0]: r[1] for r in sample.filter("y = 0").mapInArrow(clean_terms, "term string, df long").groupBy("term").agg(F.sum("df")).collect()}
+                before = ""
+                for w in WORD.findall(text.lower()):
+                    seen.update((k, hash_of(before), hash_of(w)) for k in _keys(w) if k in wanted)
+                    before = w
+            cols = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["term", "ctx", "more"])
+
+    around = sample.filter("y = 1").mapInArrow(contexts, "term string, ctx long, more long").distinct()
+    around = around.groupBy("term").agg(F.countDistinct("ctx").alias("ctx"), F.countDistinct("more").alias("more"))
+    around = around.filter((F.col("ctx") >= CONTEXTS) & ((F.col("more") >= COMPLETIONS) | ~F.col("term").endswith("*")))
+    found = {r[0]: (counts[r[0]][0], min(counts[r[0]][0], r[1])) for r in around.collect()}
+    clean = {t: c for t, (_, c) in counts.items()}
     p, good = n_toxic / (n_toxic + n_clean), {}
     for t, (a, told) in found.items():  # told: copies of a passage tell no more than one
         c = clean.get(t, 0)
         q = told / (told + c)
         beyond = (told + c) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) if q > p else 0
-        if (told + 0.5) / (n_toxic + 1) >= RATIO * (c + 0.5) / (n_clean + 1) and beyond > math.log(len(found) + 1) and 4 * told >= min(a, KEPT):
+        if (told + 0.5) / (n_toxic + 1) >= RATIO * (c + 0.5) / (n_clean + 1) and beyond > math.log(tested + 1) and 4 * told >= min(a, ENOUGH):
             good[t] = a
     # of nested stems the longest that has nearly all documents of the shorter
     stems: list[str] = []
@@ -253,7 +275,7 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
         if not longer or good[t + "*"] > 1.5 * sum(good[s + "*"] for s in longer):
             stems = [s for s in stems if not s.startswith(t)] + [t]
     words = [t for t in sorted(good, key=lambda t: (-good[t], t)) if t[-1] != "*" and not any(t.startswith(s) for s in stems)]
-    return words[:TERMS], sorted(stems)[:TERMS]
+    return words, sorted(stems)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
@@ -284,13 +306,16 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     def near_words(batches):
         own = Scorer(model)
-        seen = Counter()
-        for b in batches:
-            for text in b.column(1).to_pylist():
-                seen.update(w for w in set(WORD.findall(text.lower())) if own.match(w) == 2)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["w"])
-
-    model["spared"] = sorted(r[0] for r in sample.filter("y = 0").mapInArrow(near_words, "w string").distinct().limit(CANDIDATES).collect())
+        for b in _slices(batches):
+            df = {0: Counter(), 1: Counter()}
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                df[y].update(w for w in set(WORD.findall(text.lower())) if own.match(w) == 2)
+            words = list(df[0].keys() | df[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([df[y][w] for w in words], pa.int64()) for y in (1, 0)]], names=["w", "toxic", "clean"])
+
+    near = sample.mapInArrow(near_words, "w string, toxic long, clean long").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ordinary = (F.col("toxic") + 0.5) / (n[1] + 1) < RATIO * F.col("clean") / (n[0] + 1)
+    model["spared"] = sorted(r[0] for r in near.filter((F.col("clean") > 0) & ((F.col("toxic") == 0) | ordinary)).collect())
 
     def features(batches):
         own = Scorer(model)
