@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +102,37 @@ def first_of_groups(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     again = materialize(rooted.filter("times > 1").select("doc_id", "key"), "again")
     rows = docs.select(as_struct(docs), F.col("doc_id"), F.xxhash64(text_of(docs)).alias("key"))
     return once(without(rows, gone, "key"), again, "key").select("doc.*")
+
+
+_kept: list[tuple] = []
+
+
+def kept(key, build=lambda: None):
+    """What a worker process keeps from one task to the next: one operator's state at a time. When another operator's
+    task begins, the state before it goes and its memory is given back."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        tidy()
+        _kept.append((key, build()))
+    return _kept[0][1]
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system; allocators hold on to it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidied(run):
+    """A function over Arrow batches that begins without another operator's state, and gives memory back at its end."""
+
+    def wrapped(batches):
+        kept(__name__)
+        yield from run(batches)
+        tidy()
+
+    return wrapped

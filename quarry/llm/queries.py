@@ -13,7 +13,8 @@ PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE_TEXT).alias("text"))
     out = chat.format_chats(rows.unionByName(probe))
     loss = chat.loss_text(F.col("recovered"))
     turns = F.array_join(F.transform("recovered", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
@@ -94,4 +95,18 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY text)""",
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w FROM per),
+filled AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - 2::DOUBLE * coalesce(sum(source_size) OVER before, 0)::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS unit,
+  row_number() OVER (ORDER BY source_size / w, source IS NULL, source) AS place
+  FROM weighed WINDOW before AS (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(unit, place) FILTER (unit * w <= 2 * source_size) AS level FROM filled),
+plan AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * w > 2 * source_size THEN 2::DOUBLE * source_size ELSE level * w END AS target,
+  ('0x' || substr(sha256(CASE WHEN source IS NULL THEN '42:' ELSE '42:s' || source END), 1, 5))::BIGINT / 1048576::DOUBLE AS shift FROM filled, level),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS nth FROM d),
+taken AS (SELECT r.*, source_size, target, least(floor(nth * rate + shift) - floor((nth - 1) * rate + shift), 2)::BIGINT AS copies
+  FROM ranked r JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM plan) p ON r.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM taken""",
 }
