@@ -6,9 +6,12 @@ each splitter, over all partitions, and goes on within the cell where the target
 the hash and then, inside a group of equal texts that is too large for the tolerance, through doc_id. The driver sees
 SHARDS x PROBES counts a round. When all splitters are within tolerance, or at a single key, rows are exchanged once.
 
+Slots count through the ranges of the hash, a range's parts (by a hash of doc_id, in number as its rows need) and, in a
+part, (hash, doc_id, checksum); a part is small, however many rows or copies a range has.
+
 Defined cases: null text has size 1 (no bytes, plus 1) and the checksum of the empty text; null doc_id sorts as the
-smallest; repeated rows count each and get slots of their own; an empty table gives no rows; other columns are
-ignored.
+smallest; very long texts count whole; ties are repeated rows, which count each and get slots of their own; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ SHARDS = 16
 PROBES = 256
 #: Of a shard's fair share, how far a splitter may be off. A group of equal texts is cut only beyond it.
 TOLERANCE = 0.005
+#: Ranges of the hash in which slots are counted, and the rows that a part of one is meant to hold.
 CELLS = 1 << 16
-SALTED = 1 << 18
+PART = 1_024
 LOW, HIGH = -(1 << 63), 1 << 63
 
 
@@ -119,8 +123,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = rows.withColumn("shard", shard)
     # slots by prefix sums over cells of the key, so that a shard needn't be sorted in one task
     cell = placed.withColumn("cell", F.shiftright("h", 64 - CELLS.bit_length() + 1))
-    big = cell.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > SALTED).withColumn("salts", F.ceil(F.col("n") / SALTED)).select("cell", "salts")
-    cell = cell.join(F.broadcast(big), "cell", "left").withColumn("salt", F.coalesce(F.expr("pmod(xxhash64(k), salts)"), F.lit(0).cast("long"))).drop("salts")
+    # CELLS rows at most
+    parts = cell.groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    cell = cell.join(F.broadcast(parts), "cell").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("parts"))).drop("parts")
     counts = cell.groupBy("shard", "cell", "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "salt")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("shard", "cell", "salt").orderBy("h", "k", "text_crc32"))
