@@ -2,8 +2,9 @@
 
 A text is cut by the tokenizer's pattern. Pieces a worker hasn't met lately go, by byte length, into padded matrices
 of ids; in every round each row merges its leftmost pair of minimum rank, found by hashed pair lookup, and the
-matrix is compacted by one column; rows without a pair are done. Pieces beyond the widest bucket merge the same
-pairs in the same order by a heap, so that a very long piece costs n log n.
+matrix is compacted by one column; rows without a pair are done. A row takes as many rounds as it has merges, each over its
+whole width, so pieces beyond the widest bucket (4,096 bytes without a break of the pattern) merge the same pairs in the same
+order by a heap, which costs n log n rather than n * n.
 
 Defined cases: null text counts as empty, which has no ids; very long texts are encoded whole; strings that look
 like special tokens are ordinary text; repeated rows are encoded alike; an empty table gives no rows; other columns
@@ -24,14 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import kept, text_of
 
-WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
-PAD = 0xFFFF
+WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 NONE = np.uint32(0xFFFFFFFF)
 CACHE = 200_000
 SLICE = 256
 ROWS = 1 << 15
+#: Ids of a matrix.
+AREA = 1 << 22
 #: White space that could join a cut at a space; wider than the pattern's own white space.
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
 
@@ -39,14 +41,18 @@ UNEVEN = re.compile(r"\s\s|^\s|\s$")
 class PairTable:
     """Open-addressed hash table from (left id, right id) to the merged id, probed for whole arrays."""
 
-    def __init__(self, pairs: dict[int, int]):
+    def __init__(self, pairs: dict[int, int], half: int):
+        """half: bits of an id; a key is two ids."""
+        self.half, self.key = half, np.uint32 if half == 16 else np.uint64
+        self.free = self.key((1 << 2 * half) - 1)
+        self.mix = self.key(2654435769 if half == 16 else 0x9E3779B97F4A7C15)
         self.bits = max(4, (2 * len(pairs)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, NONE, np.uint32), np.full(1 << self.bits, NONE, np.uint32)
-        keys, values = np.fromiter(pairs, np.uint32, len(pairs)), np.fromiter(pairs.values(), np.uint32, len(pairs))
+        self.keys, self.values = np.full(1 << self.bits, self.free, self.key), np.full(1 << self.bits, NONE, np.uint32)
+        keys, values = np.fromiter(pairs, self.key, len(pairs)), np.fromiter(pairs.values(), np.uint32, len(pairs))
         at, mask = self._slot(keys), (1 << self.bits) - 1
         left = np.arange(len(keys))
         while len(left):  # each round, one key for every free slot
-            free = left[self.keys[at[left]] == NONE]
+            free = left[self.keys[at[left]] == self.free]
             _, first = np.unique(at[free], return_index=True)
             put = free[first]
             self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
@@ -54,14 +60,14 @@ class PairTable:
             at[left] = (at[left] + 1) & mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((keys * self.mix) >> self.key(2 * self.half - self.bits)).astype(np.int64)
 
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = (left.astype(np.uint32) << np.uint32(16)) | right
+        keys = (left.astype(self.key) << self.key(self.half)) | right
         at = self._slot(keys)
         held = self.keys[at]
         out = np.where(held == keys, self.values[at], NONE)
-        rest = np.nonzero((held != keys) & (held != NONE))
+        rest = np.nonzero((held != keys) & (held != self.free))
         mask = (1 << self.bits) - 1
         while len(rest[0]):
             slot = (at[rest] + 1) & mask
@@ -69,28 +75,32 @@ class PairTable:
             held, want = self.keys[slot], keys[rest]
             hit = held == want
             out[tuple(x[hit] for x in rest)] = self.values[slot[hit]]
-            go = ~hit & (held != NONE)
+            go = ~hit & (held != self.free)
             rest = tuple(x[go] for x in rest)
         return out
 
 
 class ByteBPE:
-    """ranks: token bytes to id, lower merges first, as in a .tiktoken file; ids stay below 65,535."""
+    """ranks: token bytes to id, lower merges first, as in a .tiktoken file. Ids of 16 bits where all fit, else of 32;
+    the largest number pads. Every byte must be a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if max(ranks.values()) >= PAD:
-            raise ValueError("ids must fit 16 bits")
+        lacking = [b for b in range(256) if bytes([b]) not in ranks]
+        if lacking:
+            raise ValueError(f"bytes without a token: {lacking}")
+        self.half = 16 if max(ranks.values()) < 0xFFFF else 32
+        self.id_type, self.pad = (np.uint16, 0xFFFF) if self.half == 16 else (np.uint32, 0xFFFFFFFF)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.pairs = {(ranks[t[:k]] << 16) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.table = PairTable(self.pairs)
-        self.first = np.array([ranks.get(bytes([b]), PAD) for b in range(256)], np.uint16)
+        self.pairs = {(ranks[t[:k]] << self.half) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.table = PairTable(self.pairs, self.half)
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], self.id_type)
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def encode_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids = np.full((len(pieces), width), PAD, np.uint16)
+        ids = np.full((len(pieces), width), self.pad, self.id_type)
         ids[np.arange(width) < lengths[:, None]] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self.table.get(ids[:, :-1], ids[:, 1:])
         rows, out = np.arange(len(pieces)), [None] * len(pieces)
@@ -123,8 +133,8 @@ class ByteBPE:
 
     def encode_long(self, piece: bytes) -> list[int]:
         ids = [int(self.first[b]) for b in piece]
-        after, before, get = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)], self.pairs.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get((ids[i] << 16) | ids[i + 1])) is not None]
+        after, before, get, half = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)], self.pairs.get, self.half
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get((ids[i] << half) | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -135,7 +145,7 @@ class ByteBPE:
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (q := get((ids[x] << 16) | ids[y])) is not None:
+                if x >= 0 and y >= 0 and (q := get((ids[x] << half) | ids[y])) is not None:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
@@ -150,8 +160,9 @@ class ByteBPE:
             else:
                 by.setdefault(next(w for w in WIDTHS if len(p) <= w), []).append(i)
         for width, at in by.items():
-            for k in range(0, len(at), ROWS):
-                part = at[k : k + ROWS]
+            rows = min(ROWS, AREA // width)
+            for k in range(0, len(at), rows):
+                part = at[k : k + rows]
                 for i, ids in zip(part, self.encode_matrix([pieces[i] for i in part], width)):
                     out[i] = ids
         return out
@@ -195,16 +206,11 @@ def load_ranks(name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_loaded: dict[str, ByteBPE] = {}
-
-
 def tokenizer(name: str) -> ByteBPE:
     """One a worker process; the ranks are read where the tokenizers package is installed."""
     import public_tokenizers
 
-    if name not in _loaded:
-        _loaded[name] = ByteBPE(load_ranks(name), public_tokenizers.PATTERN)
-    return _loaded[name]
+    return kept(("bpe", name), lambda: ByteBPE(load_ranks(name), public_tokenizers.PATTERN))
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:

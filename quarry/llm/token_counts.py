@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import kept, text_of
 
 TABLE = 32_768
 LOCAL = 65_536
@@ -65,13 +65,8 @@ class WordCounter:
         return [next(whole) if x is None else sum(table[w] if w in table else cache[w] for w in x) for x in cut]
 
 
-_loaded: dict[str, WordCounter] = {}
-
-
 def counter(model: str) -> WordCounter:
-    if model not in _loaded:
-        _loaded[model] = WordCounter(model)
-    return _loaded[model]
+    return kept(("token_counts", model), lambda: WordCounter(model))
 
 
 def _prune(seen: Counter, k: int) -> None:
