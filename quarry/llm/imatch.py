@@ -8,7 +8,8 @@ literal. Each of the randomised lexicons keeps a random part of it, from a half
 it, distinct and sorted, are hashed to 32 bits. The fingerprint joins those hashes; two fingerprints are as alike as
 the weighted share of equal ones among the lexicons of which either document has a term.
 
-Defined cases: null text counts as empty; a text without any term of the band uses all its terms; a text without
+Defined cases: the band begins at two documents, and ends at four, where the shares are less; null text counts as empty; a
+text without any term of the band uses all its terms; a text without
 terms has the fingerprint of no terms, alike 1 to another such and 0 to the rest; very long texts are taken whole; null doc_ids come
 after all others, and rows of equal doc_id sort by text; the next document of a single one is itself; an empty
 table gives no rows; other columns are ignored.
@@ -17,6 +18,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,17 +99,28 @@ def _bounds(docs: DataFrame) -> list[int]:
     return sorted(set(cuts or []))
 
 
+def _range_of(x: Column, cuts: list[int]) -> Column:
+    """How many cuts are at most x, by two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= x))
+    group = F.greatest(upto(F.lit([g[0] for g in groups]).cast("array<bigint>")) - 1, F.lit(0))
+    inside = F.get(F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), group)
+    return group * step + upto(inside)
+
+
 def with_next(docs: DataFrame, known) -> DataFrame:
     """doc_id, text, f and the same of the next document in descending doc_id (the first's for the last), as nxt.
     docs: doc_id, text; known adds f. Rows meet in ranges of doc_id; of every range only its first row goes to the
     range before it."""
-    cuts = _bounds(docs)
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of(F.col("doc_id"), _bounds(docs)))
     rows = docs.withColumn("part", part)
     w = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
     firsts = materialize(rows.groupBy("part").agg(F.min_by("text", F.struct(F.bitwise_not("doc_id"), "text")).alias("text")), "firsts")
-    ring = sorted((r[0] for r in firsts.select("part").collect()), reverse=True)
-    after = docs.sparkSession.createDataFrame(list(zip(ring, ring[1:] + ring[:1])), "_p int, _follows int")
+    ring = Window.orderBy(F.desc("part"))  # one row a range
+    after = firsts.select(F.col("part").alias("_p"), F.coalesce(F.lead("part").over(ring), F.max("part").over(Window.partitionBy())).alias("_follows"))
     heads = known(firsts).withColumnRenamed("part", "_first").join(after, F.col("_first") == F.col("_follows")).select("_p", F.struct("text", "f").alias("_head"))
     rows = known(rows).withColumn("nxt", F.lead(F.struct("text", "f")).over(w))
     rows = rows.join(heads, F.col("nxt").isNull() & (F.col("part") == F.col("_p")), "left")
