@@ -142,6 +142,30 @@ def test_toxicity_edges(spark, docs, none):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def test_misspelled_and_disguised_terms(spark):
+    """Terms learnt as they are, planted with a slip or in disguise into texts that the model hasn't seen."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rnd.randint(3, 9)))
+    common = [word() for _ in range(400)]
+    terms = ["scum", "loser", "idiot", "worthless", "pathetic"]
+    prose = lambda n: [rnd.choice(common) for _ in range(n)]
+    def text(term=None):
+        w = prose(60)
+        if term:
+            w.insert(rnd.randrange(60), term)
+        return " ".join(w)
+    rows = [(i, text(rnd.choice(terms) if i % 2 else None)) for i in range(600)]
+    labels = [(i, i % 2) for i in range(600)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted(model["words"]) == sorted(terms)
+    scorer = toxicity.Scorer(model)
+    bad = ["l0ser", "id1ot", "idi0t", "s.cum", "sc*m", "lo-ser", "worthles", "worhtless", "pathettic", "p4thetic", "losser", "w0rthl3ss"]
+    caught = [x for x in bad if scorer.score(text(x)) >= toxicity.THRESHOLD]
+    assert len(caught) >= 11, set(bad) - set(caught)
+    clean = [scorer.score(text()) for _ in range(300)] + [scorer.score(x) for x in ("scam", "scud closer", "v1.2-beta3 foo_bar a.b.c x-y", "close r")]
+    assert sum(x >= toxicity.THRESHOLD for x in clean) <= 3
+
+
 # exact duplicates
 
 
@@ -163,6 +187,22 @@ def test_exact_groups(spark, docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_exact_dedup_carries_rows_unchanged(spark):
+    names = "doc_id long, text string, h string, _n int, _keep int, _rn int, doc int, winner int, n int, keep_id int, rank int, times int"
+    rows = [(i, f"text {i % 7}" if i < 700 else f"rare {i // 2}", f"h{i}", i, i, i, i, i, i, i, i, i) for i in range(760)]
+    rows += [rows[699]] * 3 + [(None, "text 1", "x", *[0] * 9), (None, "only null", "y", *[1] * 9), (None, "only null", "y", *[1] * 9)]
+    df = spark.createDataFrame(rows, names).repartition(4)
+    best = {}
+    for r in rows:
+        if r[1] not in best or (r[0] is not None and (best[r[1]][0] is None or r[0] > best[r[1]][0])):
+            best[r[1]] = r
+    got = exact_dedup.exact_dedup(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(best.values())
+    groups = rows_of(exact_dedup.exact_groups(df))
+    assert len(groups) == len(rows) and sum(r["kept"] for r in groups) == len(best)
+
+
 def test_misra_gries_bound():
     rnd = np.random.default_rng(2)
     stream = np.concatenate([np.repeat(7, 400), np.repeat(8, 300), rnd.integers(100, 2000, 1300)])
@@ -317,9 +357,79 @@ def test_imatch_lookup_keeps_the_band(spark, data):
         assert r["k"] == ([h for h in r["t"] if h in band] or r["t"])
 
 
+def brute_imatch(text: str, band: set) -> list[int]:
+    """The hashes of a text, from the definition, with the library's XXH64."""
+    import struct
+
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = {w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    all_ = sorted(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words)
+    kept = [h for h in all_ if h in band] or all_
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    mixed = lambda h, s: xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", h), 42))
+    marks = {h: [mixed(h, s) for s in imatch.SEEDS] for h in kept}
+    out = []
+    for i, halvings in enumerate(imatch.HALVINGS):
+        share = 1 << halvings
+        own = [h for h in kept if (signed(marks[h][i // 4 % 2]) >> (i % 4 * 16)) % share == (i * 37 + 11) % share]
+        seed = 42
+        for h in own:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+            # a struct of one hash and its marks is hashed field by field
+            for m in marks[h]:
+                seed = xxhash.xxh64_intdigest(struct.pack("<q", signed(m)), seed)
+        out.append(unsigned(seed) & 0xFFFFFFFF)
+    return out
+
+
+def brute_likeness(a: list[int], b: list[int]) -> float:
+    weights = [1 << k for k in imatch.HALVINGS]
+    any_ = sum(w for w, x, y in zip(weights, a, b) if x != imatch.EMPTY or y != imatch.EMPTY)
+    return sum(w for w, x, y in zip(weights, a, b) if x == y != imatch.EMPTY) / any_ if any_ else 1.0
+
+
+def test_imatch_equals_brute_force(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    t = df.select(imatch.terms(imatch.text_of(df)).alias("t"))
+    seen, n = Counter(h for r in t.collect() for h in r["t"]), t.count()
+    band = {h for h, k in seen.items() if max(2, int(n * imatch.LOW_SHARE)) <= k <= max(4, int(n * imatch.HIGH_SHARE))}
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), reverse=True)
+    got = {r["doc_id"]: r for r in rows_of(imatch.fingerprints(df))}
+    for k, (i, text) in enumerate(rows):
+        other = rows[(k + 1) % len(rows)][1]
+        cut = len(text) // 2
+        own, edited, following = (brute_imatch(x, band) for x in (text, text[: len(text) - cut] + other[:cut], other))
+        joined = lambda hs: "".join(f"{x:08x}" for x in hs)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (joined(own), joined(edited)), i
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(own, edited)) and got[i]["near_next"] == pytest.approx(brute_likeness(own, following))
+
+
+def test_ranges_of_ids(spark):
+    for cuts in ([], [5], list(range(0, 100, 7)), [-(1 << 40), 0, 1, 1 << 40]):
+        got = rows_of(spark.range(-3, 120).select("id", imatch._range_of(imatch.F.col("id"), cuts).alias("p")))
+        assert all(r["p"] == sum(c <= r["id"] for c in cuts) for r in got)
+
+
 # byte-level BPE
 
 
+def test_bpe_with_wide_ids(spark):
+    ranks = bpe.load_ranks("byte_bpe_multi_50k.tiktoken")
+    import public_tokenizers
+
+    shifted = {t: i + 70_000 for t, i in ranks.items()}
+    narrow, wide = bpe.ByteBPE(ranks, public_tokenizers.PATTERN), bpe.ByteBPE(shifted, public_tokenizers.PATTERN)
+    texts = ["Hello  there, wörld!", "漢字かな交じり" * 40, "a" * 3000, "ab" * 9000, "", "x\ny 12345"]
+    for a, b in zip(narrow.encode_texts(texts), wide.encode_texts(texts)):
+        ids = lambda x: [int(i) for c in x for i in c[1].split(",") if i]
+        assert ids(b) == [i + 70_000 for i in ids(a)]
+    with pytest.raises(ValueError):
+        bpe.ByteBPE({t: i for t, i in ranks.items() if t != b"a"}, public_tokenizers.PATTERN)
+
+
 def test_bpe_equals_library(spark, docs, none, data):
     import public_tokenizers
     import tiktoken
@@ -369,6 +479,12 @@ def test_secret_rules_stay(spark, docs, none):
     texts = [(r["doc_id"], r["text"] or "") for r in rows_of(df)]
     got = rows_of(secret_scan.scan_digests(df))
     assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((i, sha(base(t))) for i, t in texts)
+    spans, held = defaultdict(list), defaultdict(list)
+    for r in got:
+        spans[r["doc_id"]].append(sorted(x for x in r["spans"].split(",") if x and not x.startswith("model")))
+    for i, t in texts:
+        held[i].append(sorted(x for x in base(t).split(",") if x))
+    assert {i: sorted(x) for i, x in spans.items()} == {i: sorted(x) for i, x in held.items()}
     assert secret_scan.scan_digests(none).count() == 0
 
 
@@ -384,9 +500,59 @@ def test_network_recalls_held_out_findings(spark):
     assert net.score(x).min() > 0.5 > net.score(y).max()
 
 
+def test_every_run_outside_findings_is_a_candidate():
+    text = "see token=abcdef123456/XyZ9abcDEFgh0 and my_own_Name12345 and plainlongwordonly and camelCaseNameOf kQzWmTrYpLdSxNbV"
+    base, rest = secret_scan.findings(text)
+    runs = [text[a:b] for a, b in rest]
+    assert [text[s:e] for s, _, e in base] == ["token=abcdef123456/XyZ9abcDEFgh0"] and runs == ["my_own_Name12345", "camelCaseNameOf", "kQzWmTrYpLdSxNbV"]
+    deadbeef = "x" * 14 + "7_" + "0a1b2c3d" * 4 + "_" + "Q9" * 8
+    base, rest = secret_scan.findings(deadbeef)
+    assert len(base) == 1 and all(b <= base[0][0] or a >= base[0][2] for a, b in rest) and len(rest) == 2
+
+
 # sharding
 
 
+def brute_shards(rows: list[tuple], splits: list[tuple]) -> dict:
+    """rows: position, h, k, crc. shard and slot of each, by one sort."""
+    out, placed = {}, defaultdict(list)
+    for at, h, k, crc in rows:
+        placed[sum((h, k) >= s for s in splits)].append((h, k, crc, at))
+    cells = Counter((h >> 48) for _, h, _, _ in rows)
+    for shard, own in placed.items():
+        def place(x):
+            h, k, crc, at = x
+            import struct
+
+            import xxhash
+
+            salt = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+            salt = salt - (1 << 64) if salt >> 63 else salt
+            return (h >> 48, salt % -(-cells[h >> 48] // sharding.PART), h, k, crc)
+
+        for slot, x in enumerate(sorted(own, key=place)):
+            out[x[3]] = (shard, slot)
+    return out
+
+
+@pytest.mark.parametrize("part", [3, 1024])
+def test_sharding_equals_a_sort(spark, monkeypatch, part):
+    """Shards are ranges of (hash, doc_id) near the even cuts of the bytes; slots are ranks."""
+    monkeypatch.setattr(sharding, "PART", part)
+    rnd = random.Random(part)
+    texts = [(i, "hot text" if i % 3 == 0 else "x" * rnd.randrange(300) + str(i % 700)) for i in range(2500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    keyed = [(r["doc_id"], r["h"], r["k"], r["text_crc32"], r["size"]) for r in rows_of(sharding.keyed(df))]
+    splits = sharding.splitters(sharding.keyed(df))
+    total = sum(r[4] for r in keyed)
+    for n, s in enumerate(splits, 1):
+        below = sum(r[4] for r in keyed if (r[1], r[2]) < s)
+        assert abs(below - total * n / 16) <= total / 16 * sharding.TOLERANCE + max(r[4] for r in keyed)
+    want = brute_shards([r[:4] for r in keyed], splits)
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in rows_of(sharding.shard_by_bytes(df))}
+    assert got == want
+
+
 def test_sharding(spark, docs, none, data):
     for df in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         rows = [(r["doc_id"], r["text"] or "") for r in rows_of(df)]
@@ -444,24 +610,114 @@ def test_targets_stop_at_the_cap():
 # pipeline
 
 
+def brute_mix(rows: list[dict]) -> dict:
+    """doc_id to copies, for unique doc_ids: one walk over each source's documents by length."""
+    import re
+
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += size[r["doc_id"]]
+    goal, copies = mixing.targets(dict(total)), {}
+    for s in total:
+        name = "42:" if s is None else f"42:s{s}"
+        shift = int(sha(name)[:5], 16) / (1 << 20)
+        rate = goal[s] / total[s] if total[s] else 0.0
+        own = [r["doc_id"] for r in rows if r["source"] == s]
+        order = sorted(own, key=lambda i: (size[i], hashlib.md5(str(i).encode()).hexdigest(), i))
+        for k, i in enumerate(order, 1):
+            copies[i] = min(2, int(np.floor(k * rate + shift) - np.floor((k - 1) * rate + shift)))
+    return copies
+
+
+@pytest.mark.parametrize("cell", [4, 1024])
+def test_mixing_equals_a_walk(spark, monkeypatch, cell):
+    """With parts of any size; half of the rows are of one source, a third of one length."""
+    monkeypatch.setattr(mixing, "CELL", cell)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(["w"] * (7 if i % 3 == 0 else rnd.randrange(400))), None if i % 50 == 0 else "hot" if i % 2 else f"s{i % 5}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = {r["doc_id"]: r["copies"] for r in rows_of(mixing.mix(df))}
+    assert got == brute_mix([{"doc_id": i, "text": t, "source": s} for i, t, s in rows])
+    assert Counter(r["doc_id"] for r in rows_of(mixing.mixed_documents(df))) == Counter({i: n for i, n in got.items() if n})
+
+
 def test_pipeline_equals_brute_force(spark, data):
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline
+    from test_near_copies import brute_kept
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    clean = rows_of(corpus_pipeline.drop_toxic(spark, docs, data))
-    assert set(clean[0]) == set(docs.columns)
+    scorer = toxicity.Scorer(toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet")))
+    clean = [r for r in rows_of(docs) if scorer.score(r["text"]) < toxicity.THRESHOLD]
+    assert set(rows_of(corpus_pipeline.drop_toxic(spark, docs, data))[0]) == set(docs.columns)
     by_text = {}
     for r in clean:
         by_text[r["text"]] = max(r["doc_id"], by_text.get(r["text"], -1))
     once = [r for r in clean if by_text[r["text"]] == r["doc_id"]]
+    kept = brute_kept([(r["doc_id"], r["text"]) for r in once])
+    assert len(kept) < len(once) < len(clean) < docs.count()
+    left = {r["doc_id"]: r for r in once if r["doc_id"] in kept}
+    copies = brute_mix(list(left.values()))
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks("byte_bpe_multi_50k.tiktoken"), special_tokens={})
+    want = Counter()
+    for i, n in copies.items():
+        ids = lib.encode_ordinary(left[i]["text"])
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(left[i]["text"])] += n
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows_of(corpus_pipeline.run(spark, data)))
+    assert got == +want
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix_sources", "byte_bpe"]
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, docs, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(3, 1, 1), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("rows", docs), ("none", none)):
+        sf = str(tmp_path / name)
+        df.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        stage = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            stage = f(spark, stage, sf)
+            assert stage.columns == df.columns and stage.schema.simpleString() == df.schema.simpleString()
+        out = rows_of(corpus_pipeline.run(spark, sf))
+        assert (len(out) == 0) == (name == "none")
+        texts = {sha(r["text"] or "") for r in rows_of(df)}
+        assert {r["decoded_sha256"] for r in out} <= texts
+
+
+def test_simhash_near_dedup_keeps_one_of_each_group(spark, data):
+    """The operator by op5's own words and bits; the pipeline's stage goes by likeness (test_near_copies)."""
+    once = {r["text"]: r for r in rows_of(spark.read.parquet(f"{data}/documents.parquet"))}.values()
+    df = spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in once], "doc_id long, text string, source string")
     pairs = [(r["doc_id"], brute_fingerprint(r["text"])) for r in once]
     comp = brute_components(pairs)
-    kept = {i for i, f in pairs if comp[f] == i}
-    left = spark.createDataFrame([r for r in once if r["doc_id"] in kept], docs.schema)
-    copies = {r["doc_id"]: r["copies"] for r in rows_of(mixing.mix(left))}
-    got = Counter(r["doc_id"] for r in rows_of(corpus_pipeline.run(spark, data)))
-    assert got == Counter({i: n for i, n in copies.items() if n})
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix_sources", "byte_bpe"]
+    got = simhash.near_dedup(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in rows_of(got)) == sorted(i for i, f in pairs if comp[f] == i)
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "x y"), (None, "p q r"), (None, "p q r")], "doc_id long, text string")
+    assert sorted(r["text"] for r in rows_of(simhash.near_dedup(again))) == ["a b c d e f", "p q r", "x y"]
+
+
+@pytest.mark.parametrize("own, ask, shard", [(40, 30, 60), (1000, 1000, 30), (65_536, 32_768, 10**6)])
+def test_blocks_of_shards_find_every_link(spark, monkeypatch, own, ask, shard):
+    for name, value in (("OWN", own), ("ASK", ask), ("SHARD", shard)):
+        monkeypatch.setattr(simhash, name, value)
+    rnd = random.Random(own)
+    seeds = [rnd.getrandbits(64) for _ in range(150)]
+    points = sorted({s ^ sum(1 << b for b in rnd.sample(range(64), k)) for s in seeds for k in (0, 2, 4, 6)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = components.connected_components(simhash.link_fingerprints(spark.createDataFrame([(signed(p),) for p in points], "fp long")))
+    root = {r["u"]: r["root"] for r in rows_of(links)}
+    groups = defaultdict(set)
+    for p in points:
+        groups[root.get(signed(p), signed(p))].add(p)
+    wanted, comp = defaultdict(set), brute_components([(p, p) for p in points])
+    for p in points:
+        wanted[comp[p]].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
 def test_oracles(spark):
@@ -471,6 +727,7 @@ def test_oracles(spark):
 
     sf = "/root/testdata/sf0.01"
     db = duckdb.connect()
+    db.sql("SET TimeZone = 'UTC'")
     for t in ("documents", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
