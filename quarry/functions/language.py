@@ -33,6 +33,8 @@ WORDS = {
     "sv": ["och", "att", "det", "som", "en", "inte", "är", "på", "för", "med"],
 }
 STEMMABLE = ("en",)
+#: The languages that queries may name, and their codes.
+NAMES = {"Unknown": "", "Danish": "da", "Dutch": "nl", "English": "en", "Finnish": "fi", "French": "fr", "German": "de", "Hungarian": "hu", "Italian": "it", "Norwegian": "nn", "Portuguese": "pt", "Romanian": "ro", "Russian": "ru", "Spanish": "es", "Swedish": "sv", "Turkish": "tr"}
 
 
 def _longest(word: str, suffixes) -> str | None:
@@ -102,3 +104,21 @@ def stem_language(supplied: Column, candidates: Column) -> Column:
     """A supplied language wins; else the first candidate that has a stemmer; else `unknown`."""
     able = F.filter(candidates, lambda c: c.isin(*STEMMABLE))
     return F.coalesce(F.when(supplied != "", supplied), F.try_element_at(able, F.lit(1)), F.lit("unknown"))
+
+
+def language_code(name: Column) -> Column:
+    """The code of the first language of which the name, or its beginning, is given in any case; else what was given."""
+    low = F.lower(name)
+    found = [F.when((name != "") & (low.startswith(n.lower()) | F.lit(n.lower()).startswith(low)), F.lit(code)) for n, code in NAMES.items()]
+    return F.coalesce(*found, name)
+
+
+def language_name(code: Column) -> Column:
+    """The name of a code; Unknown for any other."""
+    return F.coalesce(*[F.when(code == c, F.lit(n)) for n, c in NAMES.items()], F.lit("Unknown"))
+
+
+def stopwords(lines: DataFrame) -> frozenset:
+    """The words of a stopword file, one a line; lines that begin with # are none. A file of a language is a short list."""
+    rows = lines.select(F.lower(F.trim("value")).alias("w")).filter("w != '' AND NOT startswith(w, '#')").distinct()
+    return frozenset(r["w"] for r in rows.collect())

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.strings import let
+
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
-#: The bytes that stay as they are in an escaped URL.
-SAFE = r"A-Za-z0-9_.!~*'()/-"
+#: The bytes besides ASCII letters and digits that stay as they are in an escaped URL.
+SAFE = "!$&'()*,-./:;=?@_~"
 
 
 def parts(url: Column) -> Column:
@@ -32,7 +34,14 @@ def canonical(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1))
+    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^\w+://([^/?#]*)", 1), "^.*@", ""))
+
+
+def credentials(url: Column) -> Column:
+    """STRUCT user, password of a URL; empty where there are none."""
+    info = F.regexp_extract(url, r"^\w+://([^/?#@]*)@", 1)
+    password = F.when(F.contains(info, F.lit(":")), F.regexp_replace(info, "^[^:]*:", "")).otherwise(F.lit(""))
+    return F.struct(F.substring_index(info, ":", 1).alias("user"), password.alias("password"))
 
 
 def reduce_host(host: Column, levels: int) -> Column:
@@ -43,9 +52,11 @@ def reduce_host(host: Column, levels: int) -> Column:
 
 
 def escape(text: Column) -> Column:
-    """Percent escapes of UTF-8 bytes, upper-case hex."""
-    c = lambda x: F.when(x.rlike(f"^[{SAFE}]$"), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda x: x != ""), c), "")
+    """Percent escapes of UTF-8 bytes, upper-case hex, but for letters, digits and SAFE."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in SAFE:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
 
 
 def unescape(text: Column) -> Column:
@@ -69,7 +80,58 @@ def strip_markup(text: Column) -> Column:
 
 
 def record(url: Column, title: Column, mime: Column, size: Column) -> Column:
-    """A newline key=value record; a title that holds a reserved key loses its equals signs."""
+    """A newline key=value record; a title that holds a reserved key loses its equals signs. Null is empty."""
+    url, title, mime, size = (F.coalesce(c.cast("string"), F.lit("")) for c in (url, title, mime, size))
     clash = title.rlike(r"(?i)(url|ipath|sample|caption|type|modtime|language|size)=")
     caption = F.when(clash, F.replace(title, F.lit("="), F.lit(" "))).otherwise(title)
-    return F.concat(F.lit("url="), url, F.lit("\nipath=\nsample=\ncaption="), caption, F.lit("\ntype="), mime, F.lit("\nsize="), size.cast("string"))
+    return F.concat(F.lit("url="), url, F.lit("\nipath=\nsample=\ncaption="), caption, F.lit("\ntype="), mime, F.lit("\nsize="), size)
+
+
+def prettify(url: Column, longest: int) -> Column:
+    """At most about so many characters: a long directory is cut at its end, else the middle is; of no characters the host
+    is left."""
+    over = F.length(url) - longest
+
+    def pretty(x: Column) -> Column:
+        p, c = x["p"], x["c"]
+        remote = F.when(p["protocol"] == "file", F.lit("")).otherwise(p["host"])
+        user = F.when(c["user"] != "", F.concat(c["user"], F.lit(":"), c["password"])).otherwise(F.lit(""))
+        head = F.concat(p["protocol"], F.lit("://"), user, remote, F.lit("/"))
+        bare = F.concat(p["protocol"], F.lit("://"), remote, F.lit("/..."))
+        location = F.length(p["location"])
+        shorter = F.concat(head, F.substr(p["location"], F.lit(1), location - over - 3), F.lit(".../"), p["file"])
+
+        def middle(whole: Column) -> Column:
+            at = F.floor(F.greatest(F.length(whole) - over, F.lit(0)) / 2).cast("int")
+            return F.concat(F.substr(whole, F.lit(1), at), F.lit("..."), F.substr(whole, at + over + 1))
+
+        cut = let(F.concat(head, p["location"], F.lit("/"), p["file"]), middle)
+        return F.when(over <= 0, url).when(F.lit(longest <= 0), bare).when(location > over + 3, shorter).otherwise(cut)
+
+    return let(F.struct(parts(url).alias("p"), credentials(url).alias("c")), pretty)
+
+
+def _parent(path: Column) -> Column:
+    up = F.regexp_replace(F.regexp_replace(path, "/+$", ""), "/*[^/]*$", "")
+    return F.when(F.contains(path, F.lit("/")), F.when(up == "", F.lit("/")).otherwise(up)).otherwise(F.lit("."))
+
+
+def resolve_path(folder: Column, relative: Column) -> Column:
+    """A relative path from a folder, with . and .. resolved; nothing without a folder."""
+    steps = F.split(F.regexp_replace(relative, "/$", ""), "/")
+    walk = lambda at, x: F.when(x == "..", _parent(at)).when(x == ".", at).otherwise(F.concat(F.regexp_replace(at, "/$", ""), F.lit("/"), x))
+    return F.when(folder == "", F.lit("")).otherwise(F.aggregate(steps, folder, walk))
+
+
+def result_url(query_url: Column, url: Column) -> Column:
+    """The URL of a result of a web engine: relative ones are of the engine's host; a URL inside one of the engine's own
+    domain (a redirector's) is what counts; then canonical."""
+    base = let(parts(query_url), lambda engine: F.concat(engine["protocol"], F.lit("://"), engine["host"]))
+    full = F.when(url.startswith("/"), F.concat(base, url)).when(url.startswith("./"), F.concat(base, F.substr(url, F.lit(2)))).when(url.rlike(SCHEME), url).otherwise(F.concat(base, F.lit("/"), url))
+
+    def unwrapped(own: Column) -> Column:
+        rest = F.regexp_extract(own, r"^\w+://.*?((?:https?|ftp)(?::|%3[Aa]).*)$", 1)
+        same = reduce_host(host_of(query_url), 2) == reduce_host(host_of(own), 2)
+        return canonical(F.trim(F.when(same & (rest != ""), unescape(F.substring_index(rest, "&amp;", 1))).otherwise(own)))
+
+    return F.when(url == "", F.lit("")).otherwise(let(full, unwrapped))
