@@ -11,15 +11,11 @@ from quarry.functions import text as tx
 from quarry.functions import url as u
 from quarry.operators import analytics as an
 from quarry.operators import history as hi
-from quarry.operators import index as ix
-from quarry.plans import query as qp
-from quarry.service import SearchIndex
+from quarry.operators.store import StoredIndex, index_of, runs
+from quarry.registry import ORACLES, QUERIES, query
 from quarry.sources import exports
 from quarry.sources import tables as src
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 TOKENS = r"""list_filter(list_transform(string_split(regexp_replace(lower(replace(text, '.', chr(57344))), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g'), ' '),
   lambda w: CASE WHEN contains(regexp_replace(replace(w, chr(57344), '.'), '\.+$', ''), '.') THEN replace(w, chr(57344), '.') ELSE regexp_replace(replace(w, chr(57344), '.'), '\.+$', '') END), lambda t: t <> '')"""
 TOK = f"tk AS (SELECT doc_id, {TOKENS} AS t FROM documents), occ AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tk), tf AS (SELECT doc_id, term, count(*) AS wdf FROM occ GROUP BY ALL)"
@@ -30,14 +26,9 @@ CLICKS = "clicks AS (SELECT 'q' || (user_id % 10) AS query_name, 'engine' || (us
 CRAWL = "crawl AS (SELECT 'file:///u' || user_id || '/' || event_id AS url, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'TO_CRAWL' WHEN 'purchase' THEN 'CRAWLED' WHEN 'view' THEN 'CRAWLING' ELSE 'LINK' END AS status, user_id AS source_id, epoch_us(ts) AS date FROM events)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+def stored(spark, sf) -> StoredIndex:
+    """The index of the documents, with their labels."""
+    return index_of(spark, sf, lambda: src.labelled_docs(spark, sf))
 
 
 def docs(spark, sf):
@@ -54,34 +45,34 @@ FROM tf JOIN w USING (term) JOIN len USING (doc_id), c GROUP BY doc_id HAVING co
 
 @query(f"WITH {TOK} SELECT doc_id, term, count(*) AS wdf, min(pos) AS first_pos, max(pos) AS last_pos FROM occ GROUP BY ALL")
 def term_postings(spark, sf):
-    p = ix.postings(docs(spark, sf))
-    return p.select("doc_id", "term", "wdf", F.element_at("positions", 1).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
+    p = runs(docs(spark, sf), tx.tokens(F.col("text")), ["doc_id"])
+    return p.select("doc_id", "term", F.size("positions").cast("long").alias("wdf"), F.element_at("positions", 1).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
 
 
 @query(f"WITH {TOK} SELECT term, count(*) AS df, sum(wdf)::BIGINT AS cf FROM tf GROUP BY term")
 def term_statistics(spark, sf):
-    return ix.term_stats(docs(spark, sf))
+    return stored(spark, sf).terms().filter("field = 'body'").select("term", "df", "cf")
 
 
 @query(f"SELECT * FROM ({bm25_sql(['the', 'with'], True)}) ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_and_top10(spark, sf):
-    return ix.bm25(docs(spark, sf), ["the", "with"]).orderBy(F.desc("score"), "doc_id").limit(10)
+    return stored(spark, sf).bm25(["the", "with"]).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query(bm25_sql(["thing", "verlich", "with"], False))
 def or_match(spark, sf):
-    return ix.bm25(docs(spark, sf), ["thing", "verlich", "with"], every=False)
+    return stored(spark, sf).bm25(["thing", "verlich", "with"], every=False)
 
 
 @query(f"SELECT doc_id, score, round(100 * score / max(score) OVER (), 4) AS percent FROM ({bm25_sql(['the', 'with'], True)})")
 def score_percent(spark, sf):
-    s = ix.bm25(docs(spark, sf), ["the", "with"])
+    s = stored(spark, sf).bm25(["the", "with"])
     return s.join(F.broadcast(s.agg(F.max("score").alias("best")))).select("doc_id", "score", F.round(100 * F.col("score") / F.col("best"), 4).alias("percent"))
 
 
 def matched(text: str, sql: str, default: str = "AND"):
     full = f"WITH tk0 AS (SELECT doc_id, {TOKENS} AS t FROM documents), {INFO} SELECT doc_id FROM doc JOIN tk0 USING (doc_id) WHERE {sql}"
-    return full, lambda spark, sf: qp.match(src.doc_info(spark, sf), text, default).select("doc_id")
+    return full, lambda spark, sf: stored(spark, sf).match(text, default)
 
 
 PARSED = {
@@ -123,7 +114,7 @@ sorted_query("sort_size_desc", "size DESC, doc_id", lambda: [F.desc("size"), "do
 
 @query(f"WITH s AS ({bm25_sql(['the'], True)}), r AS (SELECT doc_id, score, source, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM s JOIN documents USING (doc_id)) SELECT source, doc_id, score FROM r WHERE r = 1")
 def collapse_by_source(spark, sf):
-    s = ix.bm25(docs(spark, sf), ["the"]).join(src.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    s = stored(spark, sf).bm25(["the"]).join(stored(spark, sf).docs().select("doc_id", F.col("site").alias("source")), "doc_id")
     return an.collapse(s, "source").select("source", "doc_id", "score")
 
 
@@ -134,23 +125,26 @@ def list_documents(spark, sf):
 
 @query(f"WITH {TOK} SELECT DISTINCT term FROM occ WHERE starts_with(term, 'tha') ORDER BY term LIMIT 10")
 def close_terms(spark, sf):
-    return ix.occurrences(docs(spark, sf)).filter(F.col("term").startswith("tha")).select("term").distinct().orderBy("term").limit(10)
+    return stored(spark, sf).wanted([], ["tha"], kind="terms").select("term").orderBy("term").limit(10)
 
 
-@query(f"WITH {TOK} SELECT term, levenshtein(term, 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE regexp_full_match(term, '[a-z]{{3,7}}') AND levenshtein(term, 'thung') <= 2 GROUP BY ALL")
+@query(f"WITH {TOK} SELECT term, levenshtein(regexp_replace(term, '[^ -~]', '?', 'g'), 'thung')::INT AS distance, count(*) AS freq FROM occ WHERE length(term) BETWEEN 3 AND 7 AND levenshtein(regexp_replace(term, '[^ -~]', '?', 'g'), 'thung') <= 2 GROUP BY ALL")
 def spelling_candidates(spark, sf):
-    t = ix.occurrences(docs(spark, sf)).filter(F.col("term").rlike("^[a-z]{3,7}$")).groupBy("term").agg(F.count("*").alias("freq"))
-    return t.withColumn("distance", F.levenshtein("term", F.lit("thung"))).filter("distance <= 2").select("term", "distance", "freq")
+    t = stored(spark, sf).terms().filter("field = 'body' AND length(term) BETWEEN 3 AND 7")  # two edits from five letters
+    return t.withColumn("distance", F.levenshtein("term", F.lit("thung"), 2)).filter("distance >= 0").select("term", "distance", F.col("cf").alias("freq"))
 
 
-@query(f"WITH {TOK}, rset AS (SELECT doc_id FROM documents WHERE doc_id BETWEEN 3 AND 7), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT term, count(*) AS r FROM tf SEMI JOIN rset USING (doc_id) GROUP BY term) SELECT term, r, df, round(r * ln((n + 1.0) / df), 6) AS weight FROM r JOIN df USING (term), n WHERE df > 1 AND length(term) >= 3 ORDER BY weight DESC, term LIMIT 10")
+@query(f"""WITH {TOK}, s AS ({bm25_sql(['the', 'with'], True)}), rset AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 5), n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT term, count(*) AS r FROM tf SEMI JOIN rset USING (doc_id) GROUP BY term)
+SELECT term, r, df, round(r * ln((n + 1.0) / df), 6) AS weight FROM r JOIN df USING (term), n WHERE df > 1 AND length(term) >= 3 AND term NOT IN ('the', 'with') ORDER BY weight DESC, term LIMIT 10""")
 def expand_terms(spark, sf):
-    d = docs(spark, sf)
-    f = ix.frequencies(d)
-    r = ix.frequencies(d.filter("doc_id BETWEEN 3 AND 7")).groupBy("term").agg(F.count("*").alias("r"))
-    df = f.join(F.broadcast(r.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(d.count())
-    return r.join(df, "term").filter((F.col("df") > 1) & (F.length("term") >= 3)).select("term", "r", "df", F.round(F.col("r") * F.log((n + 1.0) / F.col("df")), 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(10)
+    """The terms that tell most of the five best results of a query, by whole-collection frequencies."""
+    x = stored(spark, sf)
+    best = x.bm25(["the", "with"]).orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id")
+    r = x.postings().filter("field = 'body'").join(best, "doc_id", "left_semi").groupBy("term").agg(F.count("*").alias("r"))
+    df = x.terms().filter("field = 'body' AND df > 1 AND length(term) >= 3 AND term NOT IN ('the', 'with')")
+    weight = F.round(F.col("r") * F.log((F.lit(x.size()[0]) + 1.0) / F.col("df")), 6)
+    return r.join(df, "term").select("term", "r", "df", weight.alias("weight")).orderBy(F.desc("weight"), "term").limit(10)
 
 
 @query("SELECT index_id, count(*) AS docs FROM (SELECT 'documents' AS index_id FROM documents UNION ALL SELECT 'pages' FROM pages) GROUP BY index_id")
@@ -238,15 +232,13 @@ def host_reduce(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", u.reduce_host(u.host_of(F.col("url")), 2).alias("site"))
 
 
-@query("SELECT item_id, replace(url_encode(text), '%2F', '/') AS escaped FROM (SELECT item_id, translate(text, '~*''()!+', '') AS text FROM benchmark)")
-def url_escape(spark, sf):
-    b = src.table(spark, sf, "benchmark").select("item_id", F.translate("text", "~*'()!+", "").alias("text"))
-    return b.select("item_id", u.escape(F.col("text")).alias("escaped"))
+ESCAPED = "url_encode(text)"
+for _c in u.SAFE:
+    ESCAPED = f"replace({ESCAPED}, '%{ord(_c):02X}', '{_c * 2 if _c == chr(39) else _c}')"
 
 
-@query("SELECT item_id, replace(replace(replace(replace(replace(replace(url_encode(text), '%2F', '/'), '%21', '!'), '%2A', '*'), '%27', ''''), '%28', '('), '%29', ')') AS escaped FROM benchmark")
-def url_escape_all(spark, sf):
-    """url_escape over unchanged texts."""
+@query(f"SELECT item_id, {ESCAPED} AS escaped FROM benchmark")
+def url_escape(spark, sf):
     return src.table(spark, sf, "benchmark").select("item_id", u.escape(F.col("text")).alias("escaped"))
 
 
@@ -305,7 +297,8 @@ def html_extract(spark, sf):
 
 @query(f"WITH {TOK}, p AS (SELECT doc_id, pos, min(term) AS term FROM occ GROUP BY ALL) SELECT doc_id, md5(string_agg(term, ' ' ORDER BY pos)) AS text_md5 FROM p GROUP BY doc_id")
 def text_reconstruction(spark, sf):
-    o = ix.occurrences(docs(spark, sf)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
+    o = stored(spark, sf).postings().filter("field = 'body'").select("doc_id", F.explode("positions").alias("pos"), "term")
+    o = o.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
     return o.select("doc_id", F.md5(F.array_join(F.transform("t", lambda x: x["term"]), " ").cast("binary")).alias("text_md5"))
 
 
@@ -334,7 +327,7 @@ def language_detect(spark, sf):
 @query()
 def term_stems(spark, sf):
     """Every distinct term with its stem; the stemmer is held against known stems in the tests."""
-    return la.stems(ix.occurrences(docs(spark, sf)))
+    return la.stems(stored(spark, sf).terms().filter("field = 'body'"))
 
 
 HIT = r"(with|was)([^\p{L}\p{N}<>]|$)"
@@ -417,19 +410,17 @@ def event_routing(spark, sf):
 
 @query(f"WITH {TOK}, {INFO} SELECT count(*) AS documents, sum(size)::BIGINT AS bytes, sum(len(t))::BIGINT AS terms FROM doc JOIN tk USING (doc_id)")
 def index_statistics(spark, sf):
-    return SearchIndex(src.doc_info(spark, sf), src.doc_labels(spark, sf)).statistics()
-
-
-@query(f"WITH {INFO} SELECT 'all' AS query, site AS engine, title AS caption, url, type, language, datetime_key AS modtime, size::VARCHAR AS size, '' AS abstract FROM doc WHERE NOT regexp_matches(title, '[<>&]')")
-def export_list(spark, sf):
-    d = src.doc_info(spark, sf).filter(~F.col("title").rlike("[<>&]"))
-    return exports.export_rows(d.select(F.lit("all").alias("query"), F.col("site").alias("engine"), F.col("title").alias("caption"), "url", "type", "language", F.col("datetime_key").alias("modtime"), "size", F.lit(None).alias("abstract")))
+    x = stored(spark, sf)
+    terms = x.terms().filter("field = 'body'").agg(F.sum("cf").alias("terms"))
+    return x.docs().agg(F.count("*").alias("documents"), F.sum("size").alias("bytes")).join(F.broadcast(terms))
 
 
 @query(f"""WITH {INFO} SELECT 'all' AS query, coalesce(site, '') AS engine,
   replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(title, ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS caption,
   coalesce(url, '') AS url, type, coalesce(language, '') AS language, coalesce(datetime_key, '') AS modtime, coalesce(size::VARCHAR, '') AS size, '' AS abstract FROM doc""")
-def export_list_all(spark, sf):
-    """export_list over every document, whatever its title holds."""
+def export_list(spark, sf):
     d = src.doc_info(spark, sf)
     return exports.export_rows(d.select(F.lit("all").alias("query"), F.col("site").alias("engine"), F.col("title").alias("caption"), "url", "type", "language", F.col("datetime_key").alias("modtime"), "size", F.lit(None).alias("abstract")))
+
+
+from quarry import catalog_functions, catalog_index  # noqa: E402, F401

@@ -60,3 +60,8 @@ def route_events(events: DataFrame, blocked: list[str]) -> DataFrame:
         keep &= ~F.col("location").like(pattern.replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_"))
     action = F.when(F.col("kind").isin("CREATED", "WRITE_CLOSED"), "INDEX").when(F.col("kind") == "DELETED", "UNINDEX").when(F.col("kind") == "MOVED", "MOVE")
     return events.filter(keep).withColumn("action", action).filter(F.col("action").isNotNull())
+
+
+def set_attributes(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """url, name, value after some are set: a URL has one value of a name."""
+    return rows.join(new.select("url", "name"), ["url", "name"], "left_anti").unionByName(new)

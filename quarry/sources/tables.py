@@ -34,3 +34,9 @@ def crawl_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "TO_CRAWL").when(F.col("event_type") == "purchase", "CRAWLED").when(F.col("event_type") == "view", "CRAWLING").otherwise("LINK")
     return e.select(F.concat(F.lit("file:///u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("url"), status.alias("status"), F.col("user_id").alias("source_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("date"))
+
+
+def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_info with the labels of each document, none as an empty array."""
+    sets = doc_labels(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+    return doc_info(spark, sf_dir).join(sets, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
