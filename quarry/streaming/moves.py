@@ -24,7 +24,9 @@ def pair_moves(events: DataFrame) -> DataFrame:
 
 
 def pair_moves_stream(events: DataFrame) -> DataFrame:
-    """The streaming form, with a processing-time timeout; events without a cookie pass through."""
+    """The streaming form, with a processing-time timeout. Only halves of moves with a cookie go through the state; all
+    other events pass by, halves without a cookie as what they are alone. A second first half of a cookie ends the one
+    before it as a deletion."""
 
     def step(key, batches, state):
         held = state.get if state.exists else None
@@ -34,14 +36,16 @@ def pair_moves_stream(events: DataFrame) -> DataFrame:
             yield pd.DataFrame([("DELETED", held[0], None, held[1])], columns=["kind", "location", "previous", "ts"])
             return
         for pdf in batches:
-            for r in pdf.sort_values("ts").itertuples():
+            for r in pdf.sort_values("ts", kind="stable").itertuples():
                 if r.kind == "MOVED_FROM":
+                    if held:
+                        out.append(("DELETED", held[0], None, held[1]))
                     held = (r.location, r.ts)
-                elif r.kind == "MOVED_TO" and held:
+                elif held:
                     out.append(("MOVED", r.location, held[0], r.ts))
                     held = None
                 else:
-                    out.append(("CREATED" if r.kind == "MOVED_TO" else r.kind, r.location, None, r.ts))
+                    out.append(("CREATED", r.location, None, r.ts))
         if held:
             state.update(held)
             state.setTimeoutDuration(TIMEOUT_S * 1000)
@@ -49,4 +53,8 @@ def pair_moves_stream(events: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame(out, columns=["kind", "location", "previous", "ts"])
 
-    return events.groupBy("cookie").applyInPandasWithState(step, OUT, "location string, ts timestamp", "append", "ProcessingTimeTimeout")
+    half = F.col("kind").isin("MOVED_FROM", "MOVED_TO") & F.col("cookie").isNotNull()
+    moves = events.filter(half).groupBy("cookie").applyInPandasWithState(step, OUT, "location string, ts timestamp", "append", "ProcessingTimeTimeout")
+    alone = F.when(F.col("kind") == "MOVED_FROM", "DELETED").when(F.col("kind") == "MOVED_TO", "CREATED").otherwise(F.col("kind"))
+    rest = events.filter(~half).select(alone.alias("kind"), "location", F.lit(None).cast("string").alias("previous"), "ts")
+    return moves.unionByName(rest)
