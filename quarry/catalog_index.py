@@ -227,6 +227,24 @@ def nested_documents(spark, sf):
     return ma.nested_replaced(frame(spark, [("a.tar", "f=old", 5), ("a.tar", "f=older", 6), ("b.txt", "", 2)], s), frame(spark, [("a.tar", "f=new", 1)], s))
 
 
+HISTORY = [("/a/x", "CRAWLED", 5), ("/a/y", "ERROR", 5), ("/ab", "CRAWLED", 5), ("/c/d/e", "TO_CRAWL", 5), ("/f", "CRAWLED", 50)]
+EVENTS = [("DELETED", "/a", None, 9), ("MOVED", "/n", "/c/d", 9), ("CREATED", "/new", None, 9), ("WRITE_CLOSED", "/f", None, 9), ("CREATED", "/gone", None, 8), ("DELETED", "/gone", None, 9)]
+
+
+@query(literal([("/ab", "CRAWLED", 5), ("/n/e", "TO_CRAWL", 5), ("/f", "CRAWLED", 50), ("/new", "CRAWLED", 9)], "url", "status", "date").replace("SELECT *", "SELECT url, status, date::BIGINT AS date"))
+def applied_changes(spark, sf):
+    """History after file events: written, deleted and moved, folders with what is below them."""
+    return ma.apply_events(frame(spark, HISTORY, "url string, status string, date long"), frame(spark, EVENTS, "kind string, location string, previous string, date long"))
+
+
+@query(f"WITH {CRAWL}, gone AS (SELECT DISTINCT 'file:///u' || user_id || '/' AS folder FROM events WHERE event_type = 'signup') SELECT url, status FROM crawl WHERE NOT starts_with(status, 'TO_') AND regexp_extract(url, '^(.*/)[^/]*$', 1) NOT IN (SELECT folder FROM gone)")
+def purged_folders(spark, sf):
+    """Crawl history after the folders of every user who signed up were deleted."""
+    c = src.crawl_history(spark, sf)
+    gone = c.filter("status = 'TO_CRAWL'").select(F.lit("DELETED").alias("kind"), F.regexp_replace("url", "/[^/]*$", "").alias("location"), F.lit(None).cast("string").alias("previous"), "date")
+    return ma.apply_events(c.filter("status != 'TO_CRAWL'").select("url", "status", "date"), gone).select("url", "status")
+
+
 RESULTS = "res AS (SELECT 'http://h' || (event_id % 17) || '.example/p' || (event_id % 40) AS url, value AS score, 'engine' || (user_id % 3) AS engine, CASE WHEN user_id % 2 = 0 THEN 'docs' ELSE 'pages' END AS idx, 'q' || (user_id % 4) AS query_name, event_id FROM events WHERE event_type = 'click')"
 
 
@@ -318,6 +336,28 @@ searched("stemmed_search", "dog runs", [4], language="en")
 searched("stopped_search", "an dog", [4], language="en", stop=frozenset({"an"}))
 
 
+@query(literal([("runing dogs", "running dogs"), ("the running", ""), ("zzzzzzzz", "")], "asked", "corrected"))
+def corrected_queries(spark, sf):
+    """Spelling, only for queries that find nothing."""
+    x = small_index(spark, sf)
+    return frame(spark, [(q, x.corrected(q)) for q in ("runing dogs", "the running", "zzzzzzzz")], "asked string, corrected string")
+
+
+PLUGIN = """# comment
+<search name="Own" description="An engine" action="http://e.example/find" method=get>
+<input name="q" user><input name="src" value="a b"><inputnext name="start" factor="2">
+<interpret resultListStart="<ul class='r'>" resultListEnd="</ul>" resultItemStart="<li>" resultItemEnd="</li>"></search>"""
+PLUGIN_PAGE = '<p><a href="http://no/">no</a><ul class="r"><li><a href="http://a/1">One</a> first text</li><li>no link</li><li><a href="/2">Two</a></li></ul><li><a href="http://late/">x</a></li>'
+
+
+@query(literal([("One", "http://a/1", "One first text", 100), ("Two", "/2", "Two", 99)], "title", "url", "extract", "score").replace("SELECT *", "SELECT title, url, extract, score::INT AS score"))
+def plugin_results(spark, sf):
+    """Results of an engine in the older plug-in format."""
+    from quarry.sources import feeds
+
+    return frame(spark, feeds.plugin_results(feeds.parse_plugin(PLUGIN), PLUGIN_PAGE), "title string, url string, extract string, score int")
+
+
 @query(f"WITH {TOK} SELECT term, strip_accents(term) AS plain FROM (SELECT DISTINCT term FROM occ WHERE regexp_matches(term, '[à-öø-ÿ]')) WHERE strip_accents(term) <> term")
 def plain_terms(spark, sf):
     """Terms of the index that stand there without their accents too."""

@@ -94,3 +94,28 @@ def admitted(actions: DataFrame, busy: DataFrame, slots: int) -> DataFrame:
     fresh = actions.join(busy.select("url"), "url", "left_anti").groupBy("url").agg(F.min("date").alias("date"))
     first = fresh.orderBy("date", "url").limit(max(slots, 0)).select("url", F.lit(True).alias("now"))
     return fresh.join(first, "url", "left").withColumn("now", F.coalesce("now", F.lit(False)))
+
+
+def _ancestors(url: Column) -> Column:
+    """A URL and every folder above it."""
+    parts = F.split(url, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def apply_events(history: DataFrame, events: DataFrame) -> DataFrame:
+    """History (url, status, date) after a batch of file events (kind, location, previous, date; MOVED has a previous
+    location). Of several events of a location the last counts. What was created or written is CRAWLED, unless history holds
+    it with a newer date; what was deleted goes with everything below it; what moved is rewritten with everything below
+    it. URLs meet events by their folders, so that a folder's event needs no scan for each row."""
+    last = events.groupBy("location").agg(F.max_by(F.struct("kind", "previous", "date"), "date").alias("e")).select("location", "e.*")
+    above = history.select("url", F.explode(_ancestors(F.col("url"))).alias("_folder"))
+    gone = above.join(last.filter("kind = 'DELETED'").select(F.col("location").alias("_folder")), "_folder", "left_semi").select("url").distinct()
+    moves = last.filter("kind = 'MOVED'").select(F.col("previous").alias("_folder"), F.col("location").alias("_to"))
+    new = above.join(moves, "_folder").groupBy("url").agg(F.max_by(F.struct("_folder", "_to"), F.length("_folder")).alias("_m"))
+    kept = history.join(gone, "url", "left_anti").join(new, "url", "left")
+    url = F.coalesce(F.concat(F.col("_m._to"), F.expr("substr(url, length(_m._folder) + 1)")), F.col("url"))
+    kept = kept.select(url.alias("url"), "status", "date")
+    fresh = last.filter("kind IN ('CREATED', 'WRITE_CLOSED')").select(F.col("location").alias("url"), F.lit("CRAWLED").alias("status"), "date")
+    both = kept.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    best = both.groupBy("url").agg(F.max(F.struct("date", "_new", "status")).alias("x"))
+    return best.select("url", "x.status", "x.date")

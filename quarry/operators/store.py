@@ -2,8 +2,9 @@
 
 A folder holds generations. Each has ``docs`` (the columns of doc_info, without text), ``postings`` (field, term, doc_id,
 wdf, positions, dl) and ``terms`` (field, term, df, cf). Postings and terms lie in folders by a hash of a term's first two
-characters and are sorted by term inside, so that a search lists a few folders and skips most row groups of their files;
-a range of (term, doc_id) is one file, so that a frequent term spreads over many. An update writes a generation and the
+characters and are sorted by term inside, so that a search lists a few folders and skips most row groups of their files. A
+folder is written by as many tasks as there are shuffle partitions for it, and a frequent term spreads over them by blocks
+of doc_id. An update writes a generation and the
 ids that it replaces; compact() folds all into one. Nothing that a search reads holds a text.
 
 Fields: ``body`` and ``title`` hold the terms as they are, ``path`` words of the URL; ``plain`` terms without their accents,
@@ -17,6 +18,7 @@ are indexed whole; an empty table makes an index without documents; an empty que
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 
@@ -28,6 +30,7 @@ from pyspark.sql.types import StringType
 from quarry.functions import language as la
 from quarry.functions import text as tx
 from quarry.functions.extract import LENGTH
+from quarry.functions.url import canonical
 from quarry.operators.index import B, K1
 from quarry.plans import query as qp
 
@@ -112,13 +115,17 @@ class StoredIndex:
         name = uuid.uuid4().hex
         to = f"{self.path}/{name}"
         docs.withColumn("has_cjkv", tx.has_cjkv(F.col("text"))).withColumn("sample", F.substring("text", 1, LENGTH)).drop("text").write.parquet(f"{to}/docs")
-        p = postings(docs).withColumn("bucket", bucket(F.col("term")))
-        p = p.repartitionByRange("bucket", "field", "term", "doc_id").sortWithinPartitions("bucket", "field", "term", "doc_id")
-        p.write.partitionBy("bucket").parquet(f"{to}/postings")
-        t = self._read(f"{to}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("wdf").alias("cf"))
-        t.repartitionByRange("bucket", "field", "term").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{to}/terms")
+        self._write_terms(postings(docs), to)
         return name
 
+    def _write_terms(self, p: DataFrame, to: str) -> None:
+        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        p = p.withColumn("bucket", bucket(F.col("term")))
+        salt = F.pmod(F.xxhash64("term", F.shiftright("doc_id", 16)), F.lit(salts))
+        p.repartition("bucket", salt).sortWithinPartitions("bucket", "field", "term", "doc_id").write.partitionBy("bucket").parquet(f"{to}/postings")
+        t = self._read(f"{to}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("wdf").alias("cf"))
+        t.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(salts))).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{to}/terms")
+
     def _read(self, path: str) -> DataFrame:
         schema = SCHEMAS.get(path.rsplit("/", 1)[1])
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
@@ -158,10 +165,7 @@ class StoredIndex:
         name = uuid.uuid4().hex
         to = f"{self.path}/{name}"
         docs.write.parquet(f"{to}/docs")
-        p = p.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "field", "term", "doc_id").sortWithinPartitions("bucket", "field", "term", "doc_id")
-        p.write.partitionBy("bucket").parquet(f"{to}/postings")
-        t = self._read(f"{to}/postings").groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("wdf").alias("cf"))
-        t.repartitionByRange("bucket", "field", "term").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{to}/terms")
+        self._write_terms(p, to)
         return StoredIndex(self.spark, self.path, [name])
 
     def merged(self, other: StoredIndex, path: str) -> StoredIndex:
@@ -251,6 +255,31 @@ class StoredIndex:
             return first
         return self.match(query, default, True, True, stop)
 
+    def corrected(self, query: str) -> str:
+        """The query with each word that the index lacks replaced by the nearest term of two edits at most (the more frequent
+        one of several), if the query as it is finds nothing; else, or without such terms, an empty text."""
+        if not self.match(query, variants=True).isEmpty():
+            return ""
+        words = [n[1].lower() for n in _words(qp.parse(query))]
+        known = {r[0] for r in self.wanted(words, fields=["body"], kind="terms").select("term").distinct().collect()}
+        out = query
+        for w in [w for w in words if w not in known]:
+            near = self.terms().filter("field = 'body'").withColumn("d", F.levenshtein("term", F.lit(w), 2)).filter("d > 0")
+            best = near.orderBy("d", F.desc("cf"), "term").limit(1).collect()
+            if best:
+                out = re.sub(rf"(?i)(?<!\w){re.escape(w)}(?!\w)", best[0]["term"], out)
+        return "" if out == query else out
+
+    def list_documents(self, where: Column | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+        """A page of documents by id; where: a condition on label, directory, file, URL ..."""
+        rows = self.docs() if where is None else self.docs().filter(where)
+        return rows.orderBy("doc_id").offset(offset).limit(limit)
+
+    def has_document(self, url: str) -> int:
+        """The id of a canonical URL's document, 0 if there is none."""
+        own = self.docs().filter(canonical(F.col("url")) == canonical(F.lit(url)))
+        return own.agg(F.min("doc_id")).first()[0] or 0
+
     def found(self, node, variants: bool, stemmed: bool, stop: frozenset) -> DataFrame:
         aggs, words, prefixes, fields = [], set(), set(), set()
         if stemmed and stop and len(_words(node)) > 1:

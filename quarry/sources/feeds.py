@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass
 from urllib.parse import quote_plus
@@ -122,3 +123,83 @@ def without_filters(text: str) -> str:
 def more_like(text: str, terms: list[str]) -> str:
     """The query that finds more of the same: what was asked, or any of the expansion terms."""
     return " OR ".join([f"({text})"] * bool(text) + terms)
+
+
+TAG = re.compile(r"""<\s*(/?\w+)((?:\s+[\w:-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*)\s*/?>""")
+ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+
+
+def parse_plugin(text: str) -> dict:
+    """An engine in the older plug-in format: name, description, action and method of <search>, the names and values of <input>
+    (user marks the one that takes the terms), and the markers of <interpret>. Lines that begin with # are comments."""
+    text = "\n".join(x for x in text.splitlines() if not x.lstrip().startswith("#"))
+    out = {"name": "", "description": "", "action": "", "method": "GET", "user": "", "inputs": {}, "next": None, "interpret": {}}
+    for m in TAG.finditer(text):
+        tag = m[1].lower()
+        a = {k.lower(): v1 or v2 or v3 for k, v1, v2, v3 in ATTRIBUTE.findall(m[2])}
+        if tag == "search":
+            out.update({k: a[k] for k in ("name", "description", "action", "method") if a.get(k)})
+        elif tag == "input" and "user" in a:
+            out["user"] = a.get("name", "")
+        elif tag == "input" and a.get("name"):
+            out["inputs"][a["name"]] = a.get("value", "")
+        elif tag in ("inputnext", "inputprev"):
+            out["next"] = out["next"] or (a.get("name", ""), int(a["factor"]) if a.get("factor", "").isdigit() else 10)
+        elif tag == "interpret":
+            out["interpret"].update(a)
+    return out
+
+
+def plugin_url(plugin: dict, terms: str, page: int = 0) -> str:
+    """The URL of a page of an engine's results."""
+    fields = {**plugin["inputs"], plugin["user"]: terms}
+    if plugin["next"] and page:
+        fields[plugin["next"][0]] = str(plugin["next"][1] * page)
+    return plugin["action"] + "?" + "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in fields.items() if k)
+
+
+def _between(text: str, start: str, end: str) -> list[str]:
+    out, at = [], 0
+    while start and (a := text.find(start, at)) >= 0:
+        b = text.find(end, a + len(start)) if end else -1
+        out.append(text[a + len(start) : b if b >= 0 else len(text)])
+        at = b + len(end) if b >= 0 else len(text)
+    return out
+
+
+def plugin_results(plugin: dict, html: str) -> list[tuple[str, str, str, int]]:
+    """(title, url, extract, score) of a page's results: the list and its items are cut by the plug-in's markers, once more
+    with the other kind of quotes if that finds nothing. An item's first link is the result."""
+    from quarry.sources.filters import html_page
+
+    marks = {k: plugin["interpret"].get(k.lower(), "") for k in ("resultListStart", "resultListEnd", "resultItemStart", "resultItemEnd")}
+    swap = str.maketrans("\"'", "'\"")
+    for turn in (lambda x: x, lambda x: x.translate(swap)):
+        lists = _between(html, turn(marks["resultListStart"]), turn(marks["resultListEnd"])) if marks["resultListStart"] else [html]
+        items = [i for x in lists[:1] for i in _between(x, turn(marks["resultItemStart"]), turn(marks["resultItemEnd"]))]
+        rows = []
+        for item in items:
+            page = html_page(item.encode())
+            if page.links:
+                url, title = page.links[0]
+                rows.append((title, url, " ".join("".join(page.text).split())[:LENGTH], 100 - len(rows)))
+        if rows:
+            return rows
+    return []
+
+
+def paged(fetch, parse, url_of, wanted: int) -> list[tuple]:
+    """Results of an engine page by page, until there are enough, a page is short or brings nothing new, or url_of(page) is
+    None (the engine doesn't scroll). fetch(url) gives a page's text; scores go on falling."""
+    found, seen, page, full = [], set(), 0, 0
+    while len(found) < wanted and (url := url_of(page)) is not None:
+        whole = parse(fetch(url))
+        rows = [r for r in whole if r[1] not in seen]
+        if not rows:
+            break
+        found += rows
+        seen |= {r[1] for r in rows}
+        if len(whole) < full:
+            break
+        full, page = max(full, len(whole)), page + 1
+    return [(*r[:3], max(100 - k, 0)) for k, r in enumerate(found[:wanted])]

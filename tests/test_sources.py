@@ -147,3 +147,19 @@ def test_stopwords_and_lists(spark):
     assert n == 2 and page.first()["doc_id"] == 2
     with pytest.raises(ValueError):
         results.ordered(r, "size")
+
+
+def test_engine_paging():
+    from quarry.catalog_index import PLUGIN
+    from quarry.sources.feeds import paged, parse_plugin, plugin_url
+
+    p = parse_plugin(PLUGIN)
+    assert (p["name"], p["user"], p["inputs"], p["next"]) == ("Own", "q", {"src": "a b"}, ("start", 2))
+    assert plugin_url(p, "x y") == "http://e.example/find?src=a+b&q=x+y" and plugin_url(p, "x", 2) == "http://e.example/find?src=a+b&q=x&start=4"
+    pages = [["a", "b", "c"], ["c", "d", "e", "f"], ["g"], ["h", "i", "j"]]
+    asked = []
+    fetch = lambda url: asked.append(url) or pages[url]
+    parse = lambda page: [(x, x, "", 0) for x in page]
+    assert [r[0] for r in paged(fetch, parse, lambda k: k, 20)] == list("abcdefg") and asked == [0, 1, 2]
+    assert [(r[0], r[3]) for r in paged(fetch, parse, lambda k: k, 2)] == [("a", 100), ("b", 99)]
+    assert [r[0] for r in paged(fetch, parse, lambda k: 0 if k == 0 else None, 20)] == list("abc")
