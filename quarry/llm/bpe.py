@@ -29,7 +29,7 @@ from quarry.llm.common import kept, text_of
 
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 NONE = np.uint32(0xFFFFFFFF)
-CACHE = 200_000
+CACHE = 100_000
 SLICE = 256
 ROWS = 1 << 15
 #: Ids of a matrix.
@@ -92,8 +92,7 @@ class ByteBPE:
         self.id_type, self.pad = (np.uint16, 0xFFFF) if self.half == 16 else (np.uint32, 0xFFFFFFFF)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.pairs = {(ranks[t[:k]] << self.half) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.table = PairTable(self.pairs, self.half)
+        self.table = PairTable({(ranks[t[:k]] << self.half) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}, self.half)
         self.first = np.array([ranks[bytes([b])] for b in range(256)], self.id_type)
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
@@ -131,10 +130,14 @@ class ByteBPE:
                 ranks[r, at[has] - 1] = self.table.get(ids[r, at[has] - 1], ids[r, at[has]])
         return out
 
+    def rank_of(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+
     def encode_long(self, piece: bytes) -> list[int]:
         ids = [int(self.first[b]) for b in piece]
-        after, before, get, half = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)], self.pairs.get, self.half
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get((ids[i] << half) | ids[i + 1])) is not None]
+        after, before, get = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)], self.rank_of
+        first = self.table.get(np.array(ids[:-1], self.id_type), np.array(ids[1:], self.id_type)).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != int(NONE)]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -145,7 +148,7 @@ class ByteBPE:
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (q := get((ids[x] << half) | ids[y])) is not None:
+                if x >= 0 and y >= 0 and (q := get(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
