@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import first_of_groups, materialize, text_of
+from quarry.llm.common import first_of_groups, materialize, text_of, tidied, tidy
 from quarry.llm.components import connected_components
 
 WORDS = 4
@@ -74,7 +74,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
 
 
 def distance(points: np.ndarray, v) -> np.ndarray:
@@ -211,6 +211,7 @@ def _shard_links(t: pa.Table) -> pa.Table:
     points = np.concatenate([homes, np.setdiff1d(ask, homes, assume_unique=True)])
     order = np.argsort(points)
     edges = np.array(spanning_links(points, len(homes), asks=order[np.searchsorted(points, ask, sorter=order)]), np.int64).reshape(-1, 2)
+    tidy()
     return pa.table({"u": points[edges[:, 0]].view(np.int64), "v": points[edges[:, 1]].view(np.int64)})
 
 

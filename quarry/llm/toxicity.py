@@ -18,6 +18,7 @@ ignored or carried along.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_of
+from quarry.llm.common import kept, materialize, text_of, tidied
 
 THRESHOLD = 0.7
 TRAIN_ROWS = 4_096
@@ -44,11 +45,13 @@ EDITS = ((10, 2), (5, 1), (0, 0))
 #: The same for words with digits or symbols between their letters, which ordinary words don't have.
 DISGUISED = ((8, 2), (4, 1), (0, 0))
 WINDOW = 60
-CACHE = 300_000
-STATES = 20_000
+CACHE = 60_000
+STATES = 4_000
 #: Documents counted together while training.
 SLICE = 64
 WORD = re.compile(r"[^\W\d_]+")
+#: Digits or symbols before a letter: where none follows a letter, a text has no word of the next kind.
+MASK = re.compile(r"[\d_*@$!|+.-]{1,2}(?=[^\W\d_])")
 #: Letters with one or two digits or symbols in between, begun and ended by a letter.
 MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[\d_*@$!|+.-]{1,2}[^\W\d_]+)+(?![^\W_])")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
@@ -180,7 +183,9 @@ class Scorer:
         """Whether any hit is abuse, then logs of the counts of terms, misspelled terms, stems; of quoted hits; and
         whether all are quoted. A disguised word counts beside the plain words that it is made of."""
         low = text.lower()
-        words = {*WORD.findall(low), *MASKED.findall(low)}
+        words = set(WORD.findall(low))
+        if any(low[m.start() - 1].isalpha() for m in MASK.finditer(low) if m.start()):
+            words.update(MASKED.findall(low))
         cache = self.cache
         hits = {w: k for w in words if (k := cache[w] if w in cache else self.match(w))}
         if not hits:
@@ -236,7 +241,7 @@ def _frequencies(batches):
 def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
     """Words and stems. What may tell is decided by exact counts over the sample; as a term must be in RATIO times as
     many toxic documents as clean ones, there are at most about 2 / RATIO of the toxic documents' distinct terms."""
-    df = sample.mapInArrow(_frequencies, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    df = sample.mapInArrow(tidied(_frequencies), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     df = materialize(df.filter(F.col("toxic") >= CONTEXTS), "terms")
     tested = df.count()
     often = (F.col("toxic") + 0.5) / (n_toxic + 1) >= RATIO * (F.col("clean") + 0.5) / (n_clean + 1)
@@ -254,7 +259,7 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
             cols = list(zip(*seen)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["term", "ctx", "more"])
 
-    around = sample.filter("y = 1").mapInArrow(contexts, "term string, ctx long, more long").distinct()
+    around = sample.filter("y = 1").mapInArrow(tidied(contexts), "term string, ctx long, more long").distinct()
     around = around.groupBy("term").agg(F.countDistinct("ctx").alias("ctx"), F.countDistinct("more").alias("more"))
     around = around.filter((F.col("ctx") >= CONTEXTS) & ((F.col("more") >= COMPLETIONS) | ~F.col("term").endswith("*")))
     found = {r[0]: (counts[r[0]][0], min(counts[r[0]][0], r[1])) for r in around.collect()}
@@ -313,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             words = list(df[0].keys() | df[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([df[y][w] for w in words], pa.int64()) for y in (1, 0)]], names=["w", "toxic", "clean"])
 
-    near = sample.mapInArrow(near_words, "w string, toxic long, clean long").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    near = sample.mapInArrow(tidied(near_words), "w string, toxic long, clean long").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ordinary = (F.col("toxic") + 0.5) / (n[1] + 1) < RATIO * F.col("clean") / (n[0] + 1)
     model["spared"] = sorted(r[0] for r in near.filter((F.col("clean") > 0) & ((F.col("toxic") == 0) | ordinary)).collect())
 
@@ -322,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.mapInArrow(features, "y int, x array<double>").collect()
+    rows = sample.mapInArrow(tidied(features), "y int, x array<double>").collect()
     x, y = np.array([r[1] for r in rows]).reshape(len(rows), -1), np.array([r[0] for r in rows])
     order = np.lexsort([*x.T, y])  # tasks end in any order
     model["weights"], model["bias"] = _fit(x[order], y[order])
@@ -338,13 +343,8 @@ def score_column(model: dict):
     return score
 
 
-_last: list[Scorer] = []
-
-
 def _scorer(model: dict) -> Scorer:
-    if not _last or _last[0].model != model:
-        _last[:] = [Scorer(model)]
-    return _last[0]
+    return kept(("toxicity", pickle.dumps(model)), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
