@@ -6,7 +6,8 @@ join of the shingle sets finds the others. Of two such sets, each holds one of t
 n - ceil(0.8 n) + 1 of n. The order puts shingles that a sample holds often last, so that few texts meet without
 need. Texts that meet are paired where their sizes and the places of the shared shingle leave 0.8 possible; pairs
 whose parity sketches differ in more bits than alike sets can are dropped (a bit is the parity of the shingles that
-fall on it, so that sets differ in as many members at least), and the others are confirmed on the whole sets. Large groups are joined first along paths (a text meets two others a
+fall on it, so that sets differ in as many members at least): first by 256 bits that go with each posting, before a pair is
+made, then by as many bits as the sets have members. The others are confirmed on the whole sets. Large groups are joined first along paths (a text meets two others a
 shingle), and afterwards only pairs across groups are left to try. No pair is missed, whatever the sample.
 
 Defined cases: words are cut and lower-cased as in op5_simhash; fewer than WORDS words are one shingle, texts without
@@ -22,17 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import first_of_groups, materialize, text_of
+from quarry.llm.common import first_of_groups, kept, materialize, text_of, tidied, tidy
 from quarry.llm.components import connected_components
 from quarry.llm.simhash import link_fingerprints, majority, shingle_hashes
 
 WORDS = 5
 SAMPLE = 4_096
 COMMON = 131_072
-SHARD_BYTES = 8_000_000
-BLOCK = 1 << 20
+SHARD_BYTES = 4_000_000
+BLOCK = 1 << 17
 SLICE = 128
-POSTING = "shingle long, key long, n int, pos int"
+POSTING = "shingle long, key long, n int, pos int, f0 long, f1 long, f2 long, f3 long"
+FOLD = ["f0", "f1", "f2", "f3"]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -57,6 +59,17 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def fold(h: np.ndarray) -> np.ndarray:
+    """Parities in 256 bits, as four numbers: small enough to go with every posting."""
+    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1, bitorder="little").view(np.int64)
+
+
+def folds_allow(f: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of postings a and b, which ones' folds differ in no more bits than alike sets of their sizes can."""
+    differ = np.bitwise_count(f[a] ^ f[b]).sum(axis=1, dtype=np.int64)
+    return 9 * differ <= n[a].astype(np.int64) + n[b]
+
+
 def sketches_differ(one: bytes, two: bytes) -> int:
     """A lower bound of the members that two sets don't share."""
     a, b = (np.frombuffer(x, np.uint64) for x in (one, two))
@@ -92,7 +105,7 @@ def _common(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in b.column(0).to_pylist()]).view(np.int64))], names=["shingle"])
 
-    seen = rows.filter(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(cut, "shingle long")
+    seen = rows.filter(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(tidied(cut), "shingle long")
     often = seen.groupBy("shingle").count().filter("count > 3").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     h = np.array([r[0] for r in reversed(often)], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -108,15 +121,30 @@ def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in names]
 
 
+def _folds(t: pa.Table) -> np.ndarray:
+    return np.stack(_columns(t, *FOLD), axis=1).view(np.uint64)
+
+
 def _shared(t: pa.Table) -> pa.Table:
     """Postings of shingles that two texts hold at least, once a text."""
-    shingle, key, n, pos = _columns(t, "shingle", "key", "n", "pos")
+    shingle, key = _columns(t, "shingle", "key")
     order = np.lexsort((key, shingle))
     s, k = shingle[order], key[order]
     order = order[np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]]
     size = _run_bounds(shingle[order])[1]
-    order = order[np.repeat(size, size) > 1]
-    return pa.table({"shingle": shingle[order], "key": key[order], "n": n[order], "pos": pos[order]})
+    return t.take(pa.array(order[np.repeat(size, size) > 1]))
+
+
+def _tidy(work):
+    """A function over a group that gives memory back before the next group."""
+
+    def wrapped(t: pa.Table) -> pa.Table:
+        kept(__name__)
+        out = work(t)
+        tidy()
+        return out
+
+    return wrapped
 
 
 def _pairs(a, b) -> pa.RecordBatch:
@@ -130,15 +158,16 @@ def _paths(t: pa.Table) -> pa.Table:
     mixed = (key ^ shingle).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), shingle))
     s, k, n, p = shingle[order], key[order], n[order], pos[order]
-    ok = (s[1:] == s[:-1]) & possible(n[1:], p[1:], n[:-1], p[:-1])
-    return pa.Table.from_batches([_pairs(k[1:][ok], k[:-1][ok])])
+    at = np.nonzero((s[1:] == s[:-1]) & possible(n[1:], p[1:], n[:-1], p[:-1]))[0]
+    at = at[folds_allow(_folds(t)[order], n, at, at + 1)]
+    return pa.Table.from_batches([_pairs(k[at + 1], k[at])])
 
 
 def _across(t: pa.Table) -> pa.Table:
     """All possible pairs of each run whose texts are in different groups."""
     shingle, key, n, pos, root = _columns(t, "shingle", "key", "n", "pos", "root")
     order = np.lexsort((root, shingle))
-    s, k, n, p, r = (x[order] for x in (shingle, key, n, pos, root))
+    s, k, n, p, r, f = (x[order] for x in (shingle, key, n, pos, root, _folds(t)))
     out = [_pairs(k[:0], k[:0])]
     for at, size in zip(*_run_bounds(s)):
         if r[at] == r[at + size - 1]:
@@ -148,8 +177,10 @@ def _across(t: pa.Table) -> pa.Table:
         for i in range(0, size, step):
             mine = run[i : i + step]
             x, y = np.nonzero((r[mine][:, None] < r[run][None, :]) & possible(n[mine][:, None], p[mine][:, None], n[run][None, :], p[run][None, :]))
-            if len(x):
-                out.append(_pairs(k[mine[x]], k[run[y]]))
+            x, y = mine[x], run[y]
+            near = folds_allow(f, n, x, y)
+            if near.any():
+                out.append(_pairs(k[x[near]], k[y[near]]))
     whole = pa.Table.from_batches(out)
     return pa.Table.from_batches([_pairs(*_columns(whole, "u", "v"))])
 
@@ -172,9 +203,9 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, tag: str)
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "h"])
 
-    p = materialize(both(pairs.distinct(), sketches, "n", "sketch").mapInArrow(_sketched, "u long, v long"), f"{tag}-pairs")
+    p = materialize(both(pairs.distinct(), sketches, "n", "sketch").mapInArrow(tidied(_sketched), "u long, v long"), f"{tag}-pairs")
     wanted = materialize(p.select(F.explode(F.array("u", "v")).alias("key")).distinct(), f"{tag}-wanted")
-    sets = rows.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(whole, "key long, h array<long>").dropDuplicates(["key"])
+    sets = rows.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(tidied(whole), "key long, h array<long>").dropDuplicates(["key"])
     likeness = alike(F.size(F.array_intersect("h1", "h2")), F.size("h1"), F.size("h2"))
     return materialize(both(p, materialize(sets, f"{tag}-sets"), "h").filter(likeness).select("u", "v"), f"{tag}-links")
 
@@ -201,19 +232,21 @@ def near_roots(rows: DataFrame) -> DataFrame:
             bits = np.array([majority(h) for h in all_], np.uint64)
             sets = [np.unique(h) for h in all_]
             first = [first_shingles(h, common, rank).view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(bits.view(np.int64))], names=["key", "n", "sketch", "first", "fp"])
+            folds = np.stack([fold(h) for h in sets], axis=1)
+            columns = [b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([sketch(h) for h in sets], pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, folds)], names=["key", "n", "sketch", "first", "fp", *FOLD])
 
-    firsts = materialize(rows.select("key", "text").mapInArrow(read, "key long, n int, sketch binary, first array<long>, fp long"), "firsts")
+    firsts = materialize(rows.select("key", "text").mapInArrow(tidied(read), "key long, n int, sketch binary, first array<long>, fp long, f0 long, f1 long, f2 long, f3 long"), "firsts")
     shard = F.pmod(F.xxhash64("shingle"), F.lit(int(max(1, size // SHARD_BYTES))))
-    postings = firsts.select("key", "n", F.posexplode("first").alias("pos", "shingle")).select("shingle", "key", "n", "pos")
-    runs = materialize(postings.groupBy(shard).applyInArrow(_shared, POSTING), "runs")
+    postings = firsts.select("key", "n", *FOLD, F.posexplode("first").alias("pos", "shingle")).select("shingle", "key", "n", "pos", *FOLD)
+    runs = materialize(postings.groupBy(shard).applyInArrow(_tidy(_shared), POSTING), "runs")
     sketches = firsts.select("key", "n", "sketch").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sketches = materialize(sketches, "sketches")
-    paths = runs.groupBy(shard).applyInArrow(_paths, "u long, v long")
+    paths = runs.groupBy(shard).applyInArrow(_tidy(_paths), "u long, v long")
     links = _confirmed(_fingerprint_pairs(firsts).unionByName(paths), sketches, rows, "path")
     roots = connected_components(links).withColumnRenamed("u", "key")
     rooted = runs.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = _confirmed(rooted.groupBy(shard).applyInArrow(_across, "u long, v long"), sketches, rows, "across")
+    more = _confirmed(rooted.groupBy(shard).applyInArrow(_tidy(_across), "u long, v long"), sketches, rows, "across")
     return connected_components(links.unionByName(more)).withColumnRenamed("u", "key")
 
 
