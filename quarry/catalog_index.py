@@ -237,11 +237,11 @@ def applied_changes(spark, sf):
     return ma.apply_events(frame(spark, HISTORY, "url string, status string, date long"), frame(spark, EVENTS, "kind string, location string, previous string, date long"))
 
 
-@query(f"WITH {CRAWL}, gone AS (SELECT DISTINCT 'file:///u' || user_id || '/' AS folder FROM events WHERE event_type = 'signup') SELECT url, status FROM crawl WHERE NOT starts_with(status, 'TO_') AND regexp_extract(url, '^(.*/)[^/]*$', 1) NOT IN (SELECT folder FROM gone)")
+@query(f"WITH {CRAWL}, gone AS (SELECT DISTINCT 'file:///u' || user_id || '/' AS folder FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-01 06:00:00') SELECT url, status FROM crawl WHERE NOT starts_with(status, 'TO_') AND regexp_extract(url, '^(.*/)[^/]*$', 1) NOT IN (SELECT folder FROM gone)")
 def purged_folders(spark, sf):
-    """Crawl history after the folders of every user who signed up were deleted."""
+    """Crawl history after the folders of every user who signed up on the first morning were deleted."""
     c = src.crawl_history(spark, sf)
-    gone = c.filter("status = 'TO_CRAWL'").select(F.lit("DELETED").alias("kind"), F.regexp_replace("url", "/[^/]*$", "").alias("location"), F.lit(None).cast("string").alias("previous"), "date")
+    gone = c.filter("status = 'TO_CRAWL' AND date < 1704088800000000").select(F.lit("DELETED").alias("kind"), F.regexp_replace("url", "/[^/]*$", "").alias("location"), F.lit(None).cast("string").alias("previous"), "date")
     return ma.apply_events(c.filter("status != 'TO_CRAWL'").select("url", "status", "date"), gone).select("url", "status")
 
 
