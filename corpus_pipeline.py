@@ -3,7 +3,7 @@
 Every stage takes all rows that the one before kept. Null texts count as empty; a null doc_id is an id of its own, after all
 others; texts are taken whole, however long; of rows equal in doc_id and text one stays from the second stage on; an
 empty table gives an empty one; columns besides those of documents are carried along, whatever their names, up to the last
-stage. Stages decide on ids and digests; texts meet the decisions, and are shuffled only if these are too many to broadcast.
+stage. Stages decide on ids and digests; of the texts, those that may be dropped meet the decisions, and the mix shuffles all.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, release, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: u, v long, either way round, repeated or not. Returns u and root (the smallest vertex of its
-    component) for every vertex but the roots. Every round is written to the shared folder."""
+    component) for every vertex but the roots. Every round is written to the shared folder, and the one before deleted."""
+    since = written()
     e = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     while True:
@@ -31,3 +32,4 @@ def connected_components(links: DataFrame) -> DataFrame:
             return e.withColumnRenamed("v", "root")
         seen = state
         e = materialize(_small_star(_large_star(e).distinct()).distinct(), "stars")
+        release(since, last=1)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import as_struct, materialize, once, text_of, without
+from quarry.llm.common import as_struct, materialize, once, release, text_of, without, written
 
 COUNTERS = 1024
 
@@ -84,6 +84,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, whole and unchanged. Ids and digests decide; texts meet the ids of the rows that go,
     and are shuffled only if those are too many for Spark to broadcast."""
+    since = written()
     dig = digests(docs)
     winners = heavy(dig)
     rare = dig.join(F.broadcast(winners.select("h")), "h", "left_anti").groupBy("h", "doc_id").agg(F.count("*").alias("times"))
@@ -91,6 +92,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ranked = materialize(ranked.filter("rank > 1 OR times > 1"), "rare")
     best = winners.join(dig, (dig["h"] == winners["h"]) & dig["doc_id"].eqNullSafe(winners["keep_id"])).groupBy(winners["h"], "doc_id").agg(F.count("*").alias("times"))
     again = materialize(ranked.filter("rank = 1").select("h", "doc_id").unionByName(best.filter("times > 1").select("h", "doc_id")), "again")
+    release(since, keep=(winners, ranked, again))
     whole = docs.select(as_struct(docs), F.col("doc_id"), digest(text_of(docs)).alias("h"))
     marked = whole.join(F.broadcast(winners.select("h", F.col("keep_id").alias("winner"))), "h", "left")
     kept = marked.filter(~(F.col("winner").isNotNull() & _loses(F.col("winner")))).drop("winner")

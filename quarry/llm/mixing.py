@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import as_struct, materialize, text_of
+from quarry.llm.common import as_struct, materialize, release, text_of, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -131,8 +131,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Ids, keys and copies are ranked and shuffled; texts meet their
     numbers of copies, and are shuffled only if those are too many for Spark to broadcast. Of rows that agree in doc_id,
     source and text one stands for all."""
+    since = written()
     taken = mix(docs).groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
     taken = materialize(taken.filter("copies > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key"}), "taken")
+    release(since, last=1)
     rows = docs.select(as_struct(docs), "doc_id", "source", F.xxhash64(text_of(docs)).alias("key"))
     rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["key"] == taken["_key"]))
     single = rows.filter("times = 1").select("doc", "copies")

@@ -6,8 +6,8 @@ join of the shingle sets finds the others. Of two such sets, each holds one of t
 n - ceil(0.8 n) + 1 of n. The order puts shingles that a sample holds often last, so that few texts meet without
 need. Texts that meet are paired where their sizes and the places of the shared shingle leave 0.8 possible; pairs
 whose parity sketches differ in more bits than alike sets can are dropped (a bit is the parity of the shingles that
-fall on it, so that sets differ in as many members at least): first by 256 bits that go with each posting, before a pair is
-made, then by as many bits as the sets have members. The others are confirmed on the whole sets. Large groups are joined first along paths (a text meets two others a
+fall on it, so that sets differ in as many members at least): first by 256 bits that go with each posting of a shingle that
+several texts hold, before a pair is made, then by as many bits as the sets have members. The others are confirmed on the whole sets. Large groups are joined first along paths (a text meets two others a
 shingle), and afterwards only pairs across groups are left to try. No pair is missed, whatever the sample.
 
 Defined cases: words are cut and lower-cased as in op5_simhash; fewer than WORDS words are one shingle, texts without
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import first_of_groups, kept, materialize, text_of, tidied, tidy
+from quarry.llm.common import first_of_groups, kept, materialize, release, text_of, tidied, tidy, written
 from quarry.llm.components import connected_components
 from quarry.llm.simhash import link_fingerprints, majority, shingle_hashes
 
@@ -33,7 +33,7 @@ COMMON = 131_072
 SHARD_BYTES = 4_000_000
 BLOCK = 1 << 17
 SLICE = 128
-POSTING = "shingle long, key long, n int, pos int, f0 long, f1 long, f2 long, f3 long"
+POSTING = "shingle long, key long, pos int"
 FOLD = ["f0", "f1", "f2", "f3"]
 
 
@@ -203,11 +203,14 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, tag: str)
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "h"])
 
+    since = written()
     p = materialize(both(pairs.distinct(), sketches, "n", "sketch").mapInArrow(tidied(_sketched), "u long, v long"), f"{tag}-pairs")
     wanted = materialize(p.select(F.explode(F.array("u", "v")).alias("key")).distinct(), f"{tag}-wanted")
     sets = rows.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(tidied(whole), "key long, h array<long>").dropDuplicates(["key"])
     likeness = alike(F.size(F.array_intersect("h1", "h2")), F.size("h1"), F.size("h2"))
-    return materialize(both(p, materialize(sets, f"{tag}-sets"), "h").filter(likeness).select("u", "v"), f"{tag}-links")
+    links = materialize(both(p, materialize(sets, f"{tag}-sets"), "h").filter(likeness).select("u", "v"), f"{tag}-links")
+    release(since, last=1)
+    return links
 
 
 def _fingerprint_pairs(firsts: DataFrame) -> DataFrame:
@@ -222,7 +225,9 @@ def _fingerprint_pairs(firsts: DataFrame) -> DataFrame:
 
 
 def near_roots(rows: DataFrame) -> DataFrame:
-    """rows: key, text. key and root (the smallest key of its group) of every text that is not its group's root."""
+    """rows: key, text. key and root (the smallest key of its group) of every text that is not its group's root.
+    Tables are deleted as soon as nothing needs them."""
+    since = written()
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     common, rank = _common(rows, n)
 
@@ -238,22 +243,32 @@ def near_roots(rows: DataFrame) -> DataFrame:
 
     firsts = materialize(rows.select("key", "text").mapInArrow(tidied(read), "key long, n int, sketch binary, first array<long>, fp long, f0 long, f1 long, f2 long, f3 long"), "firsts")
     shard = F.pmod(F.xxhash64("shingle"), F.lit(int(max(1, size // SHARD_BYTES))))
-    postings = firsts.select("key", "n", *FOLD, F.posexplode("first").alias("pos", "shingle")).select("shingle", "key", "n", "pos", *FOLD)
-    runs = materialize(postings.groupBy(shard).applyInArrow(_tidy(_shared), POSTING), "runs")
+    postings = firsts.select("key", F.posexplode("first").alias("pos", "shingle")).select("shingle", "key", "pos")
+    runs = materialize(postings.groupBy(shard).applyInArrow(_tidy(_shared), POSTING), "shared")
+    # most shingles are one text's alone: sizes and folds meet the others only
+    runs = materialize(runs.join(firsts.select("key", "n", *FOLD).dropDuplicates(["key"]), "key"), "runs")
     sketches = firsts.select("key", "n", "sketch").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sketches = materialize(sketches, "sketches")
     paths = runs.groupBy(shard).applyInArrow(_tidy(_paths), "u long, v long")
     links = _confirmed(_fingerprint_pairs(firsts).unionByName(paths), sketches, rows, "path")
+    release(since, keep=(runs, sketches, links))
     roots = connected_components(links).withColumnRenamed("u", "key")
     rooted = runs.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     more = _confirmed(rooted.groupBy(shard).applyInArrow(_tidy(_across), "u long, v long"), sketches, rows, "across")
-    return connected_components(links.unionByName(more)).withColumnRenamed("u", "key")
+    release(since, keep=(links, more))
+    roots = connected_components(links.unionByName(more)).withColumnRenamed("u", "key")
+    release(since, last=1)
+    return roots
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Of each group of near copies one row of docs: that with the smallest doc_id."""
+    since = written()
     rows = docs.select(F.col("doc_id"), F.xxhash64(text_of(docs)).alias("key"), text_of(docs).alias("text"))
     roots = near_roots(rows.select("key", "text"))
     ids = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
     rooted = materialize(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    return first_of_groups(docs, rooted)
+    release(since, last=1)
+    out, mine = first_of_groups(docs, rooted), written() - since - 1
+    release(since, last=mine)
+    return out
