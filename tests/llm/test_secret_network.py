@@ -6,6 +6,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 
 from quarry.llm import secret_scan
 
@@ -72,3 +73,18 @@ def test_key_at_the_end_of_a_path(spark):
         at = (4, 3, 4 + len(head + key))
         assert secret_scan.spans_of([text], model)[0][1] == [at]
         assert secret_scan.calibrated(model, secret_scan.Network(model["weights"]).score(secret_scan.window(text, 4, at[2])[None]))[0] < model["threshold"]
+
+
+def test_every_labelled_window_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 256)
+    rows = [(None if i % 5 == 0 else i, t) for i, t in planted()[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {(x, y) for r in secret_scan._labelled([pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])]) for x, y in zip(*(c.to_pylist() for c in r.columns))}
+    blocks = secret_scan._blocks(docs).collect()
+    cut = lambda x: [bytes(w) for w in secret_scan._unpacked(bytes(x))]
+    learned = [(w, y) for b in blocks for y, x in ((1, b["good"]), (0, b["bad"])) for w in cut(x)]
+    held = [(w, y) for b in blocks for y, x in ((1, b["held_good"]), (0, b["held_bad"])) for w in cut(x)]
+    assert len(blocks) > 4 and len(held) == len(set(held)) and not set(held) & set(learned)
+    assert set(held) | set(learned) == want
+    one, two = secret_scan.train(docs), secret_scan.train(docs.repartition(3))
+    assert one["threshold"] == two["threshold"] and all((a == b).all() for a, b in zip(one["weights"], two["weights"]))
